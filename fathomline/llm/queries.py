@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fathomline.llm.confusables import canonical_text
 from fathomline.llm.nearest_time import nearest_in_time
 from fathomline.plans.registry import Registry
 from fathomline.sources.tables import table
@@ -64,3 +65,26 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     found = nearest_in_time(left, right, ["anchor_table", "match_table", "target_key"], "tolerance")
     return found.select("anchor_table", F.col("l_id").alias("anchor_id"), "match_table", F.col("r_id").alias("match_id"))
+
+
+def _disguised_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    claims, hn, reddit = (table(spark, sf_dir, n) for n in ("extracted_claims", "hn_stories", "reddit_posts"))
+    return (
+        claims.select(F.lit("extracted_claims").alias("table_name"), F.col("claim_id").cast("string").alias("row_id"), F.col("quote").alias("value"))
+        .unionByName(hn.select(F.lit("hn_stories").alias("table_name"), F.col("id").alias("row_id"), F.col("title").alias("value")))
+        .unionByName(reddit.select(F.lit("reddit_posts").alias("table_name"), F.col("id").alias("row_id"), F.col("title").alias("value")))
+    )
+
+
+@training.query("p3_found")
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotes and titles with at least one character that stands for a plain one or cannot be seen."""
+    return canonical_text(_disguised_fields(spark, sf_dir), "value").where("ct_changed").select("table_name", "row_id").distinct()
+
+
+@training.query("p3_canonical")
+def p3_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The canonical form of every quote and title, with the script flags of its tokens."""
+    return canonical_text(_disguised_fields(spark, sf_dir), "value").select(
+        "table_name", "row_id", F.col("ct_canon").alias("canon"), F.col("ct_mixed_script").alias("mixed_script"), F.col("ct_whole_script").alias("whole_script")
+    )
