@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fathomline.llm.confusables import canonical_text
 from fathomline.llm.nearest_time import nearest_in_time
+from fathomline.llm.pii import redact_columns
 from fathomline.plans.registry import Registry
 from fathomline.sources.tables import table
 
@@ -88,3 +89,28 @@ def p3_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical_text(_disguised_fields(spark, sf_dir), "value").select(
         "table_name", "row_id", F.col("ct_canon").alias("canon"), F.col("ct_mixed_script").alias("mixed_script"), F.col("ct_whole_script").alias("whole_script")
     )
+
+
+@training.query("p5_found")
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each type of personal information found in a statement, quote or summary."""
+
+    def types(name: str, row_id: str, columns: list[str]) -> DataFrame:
+        found = redact_columns(table(spark, sf_dir, name).select(F.col(row_id).cast("string").alias("row_id"), *columns), columns, texts=False)
+        fields = F.array(*[F.struct(F.lit(c).alias("field_name"), F.col(f"{c}_pii").alias("types")) for c in columns])
+        each = found.select("row_id", F.inline(fields))
+        return each.select(F.lit(name).alias("table_name"), "row_id", "field_name", F.explode("types").alias("pii_type"))
+
+    return types("extracted_claims", "claim_id", ["statement", "quote"]).unionByName(types("rx_events", "event_id", ["summary"])).distinct()
+
+
+@training.query("p5_redacted")
+def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements and quotes of all claims and summaries of all events with typed placeholders."""
+    claims = redact_columns(table(spark, sf_dir, "extracted_claims").select("claim_id", "statement", "quote"), ["statement", "quote"])
+    events = redact_columns(table(spark, sf_dir, "rx_events").select("event_id", "summary"), ["summary"])
+    fields = F.array(*[F.struct(F.lit(c).alias("field_name"), F.col(f"{c}_redacted").alias("redacted")) for c in ("statement", "quote")])
+    return (
+        claims.select(F.lit("extracted_claims").alias("table_name"), F.col("claim_id").cast("string").alias("row_id"), F.inline(fields))
+        .unionByName(events.select(F.lit("rx_events").alias("table_name"), F.col("event_id").cast("string").alias("row_id"), F.lit("summary").alias("field_name"), F.col("summary_redacted").alias("redacted")))
+    )
