@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomline.llm.confusables import canonical_text
+from fathomline.llm.near_duplicates import near_duplicate_classes
 from fathomline.llm.nearest_time import nearest_in_time
 from fathomline.llm.pii import redact_columns
 from fathomline.plans.registry import Registry
@@ -114,3 +115,17 @@ def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
         claims.select(F.lit("extracted_claims").alias("table_name"), F.col("claim_id").cast("string").alias("row_id"), F.inline(fields))
         .unionByName(events.select(F.lit("rx_events").alias("table_name"), F.col("event_id").cast("string").alias("row_id"), F.lit("summary").alias("field_name"), F.col("summary_redacted").alias("redacted")))
     )
+
+
+@training.query("p1_found")
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of claims that are edited versions of one claim, the smaller id first."""
+    classes = near_duplicate_classes(table(spark, sf_dir, "extracted_claims"))
+    a, b = classes.select(F.col("claim_id").alias("claim_id_a"), "class_id"), classes.select(F.col("claim_id").alias("claim_id_b"), "class_id")
+    return a.join(b, "class_id").where("claim_id_a < claim_id_b").select("claim_id_a", "claim_id_b")
+
+
+@training.query("p1_classes")
+def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of near-duplicates of every claim."""
+    return near_duplicate_classes(table(spark, sf_dir, "extracted_claims"))
