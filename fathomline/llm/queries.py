@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomline.llm.confusables import canonical_text
+from fathomline.llm.leakage import leaked_items
 from fathomline.llm.near_duplicates import near_duplicate_classes
 from fathomline.llm.nearest_time import nearest_in_time
+from fathomline.llm.packing import CAPACITY, pack_documents
 from fathomline.llm.pii import redact_columns
+from fathomline.llm.subjects import assign_subjects, fit_subjects
 from fathomline.plans.registry import Registry
 from fathomline.sources.tables import table
 
@@ -129,3 +132,52 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The class of near-duplicates of every claim."""
     return near_duplicate_classes(table(spark, sf_dir, "extracted_claims"))
+
+
+@training.query("p6_sequences")
+def p6_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The training sequence of every document, and where a document that is too long is cut."""
+    return pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@training.query("p6_fill")
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many sequences the corpus fills, its tokens, and the share of the capacity they use."""
+    packed = pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return packed.groupBy("sequence").agg(F.sum("n_tokens").alias("n")).agg(
+        F.count(F.lit(1)).alias("n_sequences"), F.sum("n").alias("n_tokens"), F.max("n").alias("fullest"), F.round(F.sum("n") / (F.count(F.lit(1)) * CAPACITY), 6).alias("fill")
+    )
+
+
+@training.query("p7_found")
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that contain evaluation items, whole or at least half as one running passage."""
+    return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
+
+
+@training.query("p7_leaked_items")
+def p7_leaked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every evaluation item with the number of documents that contain it and the best coverage among them."""
+    items = table(spark, sf_dir, "eval_items")
+    found = leaked_items(table(spark, sf_dir, "documents"), items).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"), F.max("coverage").alias("coverage"))
+    return items.select("item_id", "suite").join(F.broadcast(found), "item_id", "left").select(
+        "item_id", "suite", F.coalesce("n_documents", F.lit(0)).alias("n_documents"), F.round(F.coalesce("coverage", F.lit(0.0)), 6).alias("coverage")
+    )
+
+
+def _subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_subjects(documents, table(spark, sf_dir, "subject_labels"), table(spark, sf_dir, "subject_areas"))
+    return assign_subjects(documents, model)
+
+
+@training.query("p8_found")
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The subject areas of every document that has any."""
+    return _subjects(spark, sf_dir).select("doc_id", "subject")
+
+
+@training.query("p8_composition")
+def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus by subject: documents with the subject and their mean share of sentences on it."""
+    return _subjects(spark, sf_dir).groupBy("subject").agg(F.count(F.lit(1)).alias("n_documents"), F.round(F.avg("share"), 4).alias("mean_share"))
