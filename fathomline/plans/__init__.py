@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules that register queries.
-MODULES = ("times",)
+MODULES = ("series", "times")
 
 
 def load_core():
