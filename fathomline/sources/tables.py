@@ -6,5 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One Parquet table of a data directory (a file or a folder of files)."""
+    """One Parquet table of a data directory (a file or a folder of files). Times are UTC, so the session's zone is too."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
