@@ -23,7 +23,7 @@ def metric_key(text: Column, most: int = 40) -> Column:
 
 def quote_form(text: Column) -> Column:
     """Plain quotes and hyphens, no markup, single spaces, lower case."""
-    t = F.translate(text, "’‘“”–— ", "''\"\"-- ")
+    t = F.translate(text, "’‘“”–—\u00a0", "''\"\"-- ")
     t = F.regexp_replace(t, r"[*_`#>\[\]]", "")
     return F.lower(F.trim(F.regexp_replace(t, r"\s+", " ")))
 

@@ -114,7 +114,7 @@ def metric_keys(spark: SparkSession, d: str) -> DataFrame:
     return m.withColumn("metric_key", T.metric_key(F.col("metric_name")))
 
 
-_QF = r"lower(trim(regexp_replace(regexp_replace(translate({0}, '’‘“”–— ', '''''\"\"-- '), '[*_`#>\[\]]', '', 'g'), '\s+', ' ', 'g')))".replace('\\"', '"')
+_QF = r"lower(trim(regexp_replace(regexp_replace(translate({0}, '’‘“”–— ', '''''\"\"-- '), '[*_`#>\[\]]', '', 'g'), '\s+', ' ', 'g')))".replace('\\"', '"')
 
 
 @core.query(
