@@ -304,7 +304,8 @@ def claim_date_labels(spark: SparkSession, d: str) -> DataFrame:
 def event_ranges(spark: SparkSession, d: str) -> DataFrame:
     """The time range of every event, with its end date where that is not before the start."""
     e = table(spark, d, "rx_events").select("event_id", "event_date", "event_date_end", "date_label").distinct()
-    r = e.select("event_id", D.with_end(D.range_from_partial(F.col("event_date"), F.col("date_label")), F.col("event_date_end"), F.col("date_label")).alias("r"))
+    e = e.select("event_id", "date_label", D.range_from_partial(F.col("event_date"), F.col("date_label")).alias("r0"), D.range_from_partial(F.col("event_date_end")).alias("r1"))
+    r = e.select("event_id", D.with_end(F.col("r0"), F.col("r1"), F.col("date_label")).alias("r"))
     return r.select("event_id", D.iso(F.col("r.start")).alias("range_start"), D.iso(F.col("r.end")).alias("range_end"), F.col("r.precision").alias("precision"))
 
 
