@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules that register queries.
-MODULES = ("domain", "series", "text", "times")
+MODULES = ("checks", "domain", "series", "text", "times")
 
 
 def load_core():
