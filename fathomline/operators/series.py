@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-_BY_DAY = Window.partitionBy("series_id").orderBy("day")
+def _by_day():
+    return Window.partitionBy("series_id").orderBy("day")
 
 
 def cumulative_points(gains: DataFrame) -> DataFrame:
@@ -20,7 +21,7 @@ def cumulative_points(gains: DataFrame) -> DataFrame:
     Null ids, days and gains are left out; an empty table gives an empty series.
     """
     days = gains.where("series_id IS NOT NULL AND day IS NOT NULL AND gain IS NOT NULL").groupBy("series_id", "day").agg(F.sum("gain").cast("bigint").alias("gain"))
-    return days.select("series_id", "day", F.sum("gain").over(_BY_DAY.rowsBetween(Window.unboundedPreceding, 0)).alias("cum"))
+    return days.select("series_id", "day", F.sum("gain").over(_by_day().rowsBetween(Window.unboundedPreceding, 0)).alias("cum"))
 
 
 def fill_daily(points: DataFrame, end: Column) -> DataFrame:
@@ -28,7 +29,7 @@ def fill_daily(points: DataFrame, end: Column) -> DataFrame:
 
     No calendar join: every point is repeated up to the day before the next one. Points after ``end`` are ignored.
     """
-    until = F.coalesce(F.date_sub(F.lead("day").over(_BY_DAY), 1), end)
+    until = F.coalesce(F.date_sub(F.lead("day").over(_by_day()), 1), end)
     known = points.where(F.col("day") <= end)
     return known.select("series_id", "day", "cum", until.alias("until")).select(
         "series_id", F.explode(F.sequence("day", F.greatest("day", "until"))).alias("day"), "cum"
@@ -41,10 +42,10 @@ def spikes(daily: DataFrame) -> DataFrame:
     The first day's gain is its whole value. With fewer than 7 days of history only a gain of 20 or more counts; later a
     gain must reach the floor and four times the baseline plus 2. The floor is 5 or 0.2 % of the total of the day before.
     """
-    prev = F.coalesce(F.lag("cum").over(_BY_DAY), F.lit(0))
-    first = F.row_number().over(_BY_DAY) == 1
+    prev = F.coalesce(F.lag("cum").over(_by_day()), F.lit(0))
+    first = F.row_number().over(_by_day()) == 1
     g = daily.select("series_id", "day", "cum", prev.alias("cum_prev"), F.when(first, F.col("cum")).otherwise(F.greatest(F.lit(0), F.col("cum") - prev)).alias("gain"))
-    trailing = _BY_DAY.rowsBetween(-28, -1)
+    trailing = _by_day().rowsBetween(-28, -1)
     base = F.coalesce(F.sum("gain").over(trailing) / F.count("gain").over(trailing), F.lit(0.0))
     g = g.select("*", base.alias("baseline"), F.count("gain").over(trailing).alias("history"), F.greatest(F.lit(5.0), F.col("cum_prev") * 0.002).alias("floor"))
     spike = F.when(F.col("history") < 7, F.col("gain") >= F.greatest(F.lit(20.0), F.col("floor"))).otherwise(
@@ -123,7 +124,7 @@ def value_at(points: DataFrame, asks: DataFrame, interpolate: bool = False) -> D
 def snapshots(daily: DataFrame, longest: int = 1100, step: int = 7) -> DataFrame:
     """A series of up to ``longest`` days whole; of longer ones every ``step``-th day and the last."""
     n = F.count(F.lit(1)).over(Window.partitionBy("series_id"))
-    k = F.row_number().over(_BY_DAY)
+    k = F.row_number().over(_by_day())
     return daily.select("series_id", "day", "cum", n.alias("n"), k.alias("k")).where((F.col("n") <= longest) | ((F.col("k") - 1) % step == 0) | (F.col("k") == F.col("n"))).select("series_id", "day", "cum")
 
 
@@ -132,7 +133,7 @@ def dense_tail(points: DataFrame, gap: int = 2, least: int = 14) -> DataFrame:
 
     Series under three points have none.
     """
-    spaced = points.select("series_id", "day", "cum", F.datediff("day", F.lag("day").over(_BY_DAY)).alias("gap"))
+    spaced = points.select("series_id", "day", "cum", F.datediff("day", F.lag("day").over(_by_day())).alias("gap"))
     whole = Window.partitionBy("series_id")
     cutoff = F.coalesce(F.max(F.when(F.col("gap") > gap, F.col("day"))).over(whole), F.min("day").over(whole))
     tail = spaced.select("series_id", "day", "cum", cutoff.alias("cutoff"), F.count(F.lit(1)).over(whole).alias("n")).where((F.col("day") > F.col("cutoff")) & (F.col("n") >= 3))
@@ -166,7 +167,7 @@ def recent_gain(points: DataFrame, days: int = 90) -> DataFrame:
 
 def sampling_step(points: DataFrame) -> DataFrame:
     """The upper median distance between points of each series and its name: day, week or period."""
-    gaps = points.select("series_id", F.datediff("day", F.lag("day").over(_BY_DAY)).alias("gap")).where("gap IS NOT NULL")
+    gaps = points.select("series_id", F.datediff("day", F.lag("day").over(_by_day())).alias("gap")).where("gap IS NOT NULL")
     m = gaps.groupBy("series_id").agg(F.sort_array(F.collect_list("gap")).alias("g")).select("series_id", F.expr("g[CAST(floor(size(g) / 2) AS INT)]").alias("median_gap"))
     return m.withColumn("step", F.when(F.col("median_gap") <= 1, "day").when(F.col("median_gap") <= 8, "week").otherwise("period"))
 
@@ -174,15 +175,15 @@ def sampling_step(points: DataFrame) -> DataFrame:
 def thin(points: DataFrame, most: int = 80) -> DataFrame:
     """About ``most`` evenly spaced points of each series, always with the last."""
     n = F.count(F.lit(1)).over(Window.partitionBy("series_id"))
-    k = F.row_number().over(_BY_DAY)
+    k = F.row_number().over(_by_day())
     r = points.select("series_id", "day", "cum", n.alias("n"), k.alias("k"))
     return r.where(((F.col("k") - 1) % F.greatest(F.lit(1), F.ceil(F.col("n") / most)) == 0) | (F.col("k") == F.col("n"))).select("series_id", "day", "cum")
 
 
 def chart_segments(points: DataFrame, wide: int = 45) -> DataFrame:
     """Each point with the gain since the one before, their distance in days, and whether the line between is a guess."""
-    gap = F.datediff("day", F.lag("day").over(_BY_DAY))
+    gap = F.datediff("day", F.lag("day").over(_by_day()))
     return points.select(
-        "series_id", "day", "cum", F.greatest(F.lit(0), F.col("cum") - F.coalesce(F.lag("cum").over(_BY_DAY), F.lit(0))).alias("gain"),
+        "series_id", "day", "cum", F.greatest(F.lit(0), F.col("cum") - F.coalesce(F.lag("cum").over(_by_day()), F.lit(0))).alias("gain"),
         gap.alias("gap"), F.coalesce(gap > wide, F.lit(False)).alias("dashed"),
     )
