@@ -8,9 +8,8 @@ are part of every signature, and the shuffle key of the exchange. Candidates tha
 statement, quote and names; verified links are closed to classes.
 
 Exact copies are collapsed by a partial aggregate before anything else. Blocks of equal figures are matched by signature
-inside one task up to ``BLOCK`` distinct texts; larger blocks are exchanged by signature, and their links closed by
-distributed label propagation. Signature buckets beyond ``BLOCK`` are matched in chunks of that size whose class
-representatives meet again in further rounds.
+inside one task up to ``BLOCK`` distinct texts; larger blocks are exchanged by signature, buckets beyond ``BLOCK`` in parts
+of which every two meet in a task, and their links are closed by distributed label propagation.
 """
 
 from __future__ import annotations
@@ -213,9 +212,8 @@ def near_duplicate_classes(claims: DataFrame, block: int = BLOCK) -> DataFrame:
 
     claims: ``claim_id``, ``statement``, ``quote``; other columns are ignored. Claims with a null id or statement form no
     class and are left out; a null quote counts as empty, and two empty quotes agree. Statements without words match only
-    if figures and quotes agree. Repeated rows count once; an empty table gives an empty result. Of classes that lie in
-    signature buckets of more than ``block`` distinct texts, a link between two texts of different chunks is found if the
-    representatives of their chunk classes are similar.
+    if figures and quotes agree. Repeated rows count once; an empty table gives an empty result. ``block`` bounds the
+    distinct texts that one task matches and has no effect on the result.
     """
     rows = claims.select("claim_id", "statement", "quote").where("claim_id IS NOT NULL AND statement IS NOT NULL")
     prepared = cut(rows.mapInArrow(_prepare, _FEATURES), "claims")
@@ -236,29 +234,20 @@ def near_duplicate_classes(claims: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def _large_blocks(items: DataFrame, block: int) -> DataFrame:
-    """(a, least id of its class) of texts in large blocks: exchanged by signature instead of figures."""
-    links = None
-    rest = items.drop("fig").withColumn("level", F.lit(0))
-    fig = items.select("claim_id", "fig")
-    for _ in range(40):
-        signed = rest.join(fig, "claim_id").mapInArrow(_by_signature, "sig bigint, claim_id bigint, st binary, qt binary, names string")
-        counts = signed.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        chunked = signed.join(counts, "sig").withColumn("chunk", F.xxhash64("sig", F.pmod(F.xxhash64("claim_id"), F.ceil(F.col("n") / block))))
-        got = cut(
-            chunked.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_grouped("chunk", lambda _, g: match_block(g)), "a bigint, b bigint").where("a <> b").distinct(),
-            "links",
-        )
-        links = got if links is None else links.unionByName(got)
-        overfull = chunked.where(F.col("n") > block).select("claim_id").distinct()
-        if not overfull.limit(1).count():
-            break
-        # Only representatives of overfull buckets meet again, in other chunks.
-        heads = overfull.join(got.select(F.col("a").alias("claim_id")).distinct(), "claim_id", "left_anti")
-        after = cut(rest.join(heads, "claim_id", "left_semi"), "heads")
-        if after.count() >= rest.count():
-            break
-        rest = after
-    return components(links)
+    """(a, least id of its class) of texts in large blocks: exchanged by signature instead of figures.
+
+    A signature bucket of n > ``block`` texts is dealt into m = ceil(n / block) parts, and every two parts meet in a task of
+    their own, so that no link is lost and no task holds more than two parts. Texts already in one class are not compared,
+    and a task gives one row per text, not one per pair.
+    """
+    signed = items.mapInArrow(_by_signature, "sig bigint, claim_id bigint, st binary, qt binary, names string")
+    counts = signed.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    dealt = signed.join(counts, "sig").withColumn("m", F.ceil(F.col("n") / block).cast("int"))
+    part = F.pmod(F.xxhash64("claim_id"), F.col("m")).cast("int")
+    met = dealt.withColumn("p", part).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    tiles = met.select(F.xxhash64("sig", F.least("p", "q"), F.greatest("p", "q")).alias("tile"), "claim_id", "st", "qt", "names")
+    got = tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(_grouped("tile", lambda _, g: match_block(g)), "a bigint, b bigint")
+    return components(got.where("a <> b").distinct())
 
 
 def _by_signature(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

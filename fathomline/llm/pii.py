@@ -60,7 +60,7 @@ _CAP = r"(?:[A-ZÀ-ÖØ-ÞŁŚŞŽČĆĐİ][\w'’]*(?:-[A-ZÀ-ÖØ-ÞŁŚŞŽČ
 _PARTICLE = r"(?:(?:de|del|della|di|da|dos|du|la|le|el|al|bin|ben|van|von|der|den|ter|ten|zu|zum|of|y|st)\s+|d'|De\s+|La\s+|Van\s+|Von\s+|Der\s+|DE\s+|LA\s+|VAN\s+|VON\s+|DER\s+)"
 _NAME = re.compile(rf"\b(?P<given>{_CAP})(?P<mid>(?:\s+[A-ZÀ-Þ]\.)*)\s+(?:{_PARTICLE}){{0,3}}(?P<last>{_CAP})")
 _NAME_REVERSED = re.compile(rf"(?<![\w.])(?P<last>(?:{_PARTICLE}){{0,3}}{_CAP}),\s+(?P<given>{_CAP})(?:\s+[A-Z]\.)?(?=\s*[,;<(/:.!?)–—-]|\s+\(|$|\s+[a-z])")
-_HONORED = re.compile(rf"\b(?:{'|'.join(HONORIFICS)})\b\.?\s+(?:[A-ZÀ-Þ]\.\s*)*(?:{_CAP}\s+(?:[A-ZÀ-Þ]\.\s*)*)?(?:{_PARTICLE}){{0,3}}(?P<last>{_CAP})", re.IGNORECASE)
+_HONORED = re.compile(rf"\b(?i:{'|'.join(HONORIFICS)})\b\.?\s+(?:[A-ZÀ-Þ]\.\s*)*(?:{_CAP}\s+(?:[A-ZÀ-Þ]\.\s*)*)?(?:{_PARTICLE}){{0,3}}(?P<last>{_CAP})")
 _INITIALS = re.compile(rf"(?<![\w.])(?:[A-ZÀ-Þ]\.\s?){{1,3}}(?:{_PARTICLE}){{0,3}}(?P<last>{_CAP})")
 # Words that often begin a sentence after a single letter with a full stop.
 SENTENCE_STARTS = frozenset("""
