@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from functools import lru_cache
 from zlib import crc32
 
 from fathomline.llm.confusables import PLAIN, canonical_form
@@ -14,9 +15,9 @@ FACTORS = {"k": 1e3, "thousand": 1e3, "m": 1e6, "mn": 1e6, "million": 1e6, "bn":
 NUMBER_WORDS = {w: i for i, w in enumerate("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split())} | {
     w: 10 * (i + 2) for i, w in enumerate("twenty thirty forty fifty sixty seventy eighty ninety".split())
 }
-_NUMBER = re.compile(r"(?<![\w.])(\d[\d,]*(?:\.\d+)?)(?:\s?(k|thousand|mn|m|million|bn|b|billion)\b)?", re.IGNORECASE)
+_NUMBER = re.compile(r"(?<![^\W_])(\d[\d,]*(?:\.\d+)?)(?:\s?(k|thousand|mn|m|million|bn|b|billion)\b)?")
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)?")
-_SPELT = re.compile(r"\b(" + "|".join(w for w in NUMBER_WORDS if w not in ("zero", "one")) + r")\b", re.IGNORECASE)
+_SPELT = frozenset(NUMBER_WORDS) - {"zero", "one"}
 # Names of months, which are no names of products.
 MONTHS = frozenset("january february march april may june july august september october november december".split())
 
@@ -25,28 +26,40 @@ def plain(text: str) -> str:
     return canonical_form(text)[0] if _ODD.search(text) else text
 
 
-def _value(m: re.Match) -> str:
-    v = float(m[1].replace(",", "").rstrip(".") or 0) * FACTORS.get((m[2] or "").lower(), 1)
+def _value(digits: str, suffix: str) -> str:
+    v = float(digits.replace(",", "").rstrip(".") or 0) * FACTORS.get(suffix, 1)
     return f"{v:.6g}" if v < 1e15 and v != int(v) else str(int(round(v)))
 
 
 def words_and_numbers(text: str) -> tuple[list[str], list[str]]:
-    """Lower-case words without numbers, and the numbers in one notation, both in order of the (canonical) text."""
-    t = text.replace("&", " and ").replace("%", " percent ")
-    numbers = [_value(m) for m in _NUMBER.finditer(t)]
-    rest = _NUMBER.sub(" ", t)
-    numbers += [str(NUMBER_WORDS[m[1].lower()]) for m in _SPELT.finditer(rest)]
-    return [w for w in _WORD.findall(_SPELT.sub(" ", rest).lower()) if not w.isdigit()], numbers
+    """Lower-case words without numbers, and the numbers in one notation. The text should be canonical."""
+    t = text.lower()
+    if "&" in t or "%" in t:
+        t = t.replace("&", " and ").replace("%", " percent ")
+    numbers = [_value(*m) for m in _NUMBER.findall(t)]
+    words = _WORD.findall(_NUMBER.sub(" ", t) if numbers else t)
+    if not _SPELT.isdisjoint(words):
+        numbers += [str(NUMBER_WORDS[w]) for w in words if w in _SPELT]
+        words = [w for w in words if w not in _SPELT]
+    return words, numbers
+
+
+_CAPITAL = re.compile(r"[^\W\d_]{4,}")
 
 
 def name_tokens(text: str) -> list[str]:
     """Capitalised words of four letters or more that may be names, lower case; months are none."""
-    return sorted({w.lower() for w in re.findall(r"[^\W\d_]{4,}", text) if w[0].isupper() and w.lower() not in MONTHS})
+    return sorted({w.lower() for w in _CAPITAL.findall(text) if w[0].isupper() and w.lower() not in MONTHS})
+
+
+@lru_cache(maxsize=200_000)
+def _hash(word: str) -> bytes:
+    return (crc32(word.encode()) & 0xFFFF).to_bytes(2, "big")
 
 
 def bag(words: list[str]) -> bytes:
     """A multiset of words as sorted 16-bit hashes."""
-    return b"".join(h.to_bytes(2, "big") for h in sorted(crc32(w.encode()) & 0xFFFF for w in words))
+    return b"".join(sorted(map(_hash, words)))
 
 
 def bag_counter(b: bytes) -> Counter:

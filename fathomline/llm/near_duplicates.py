@@ -18,6 +18,7 @@ import hashlib
 import math
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import pyarrow as pa
@@ -33,11 +34,13 @@ GAMMA = 0.55
 LEAST_STATEMENT, LEAST_QUOTE, LEAST_CONTAINED, LEAST_PART = 0.35, 0.6, 0.85, 0.3
 #: Texts that one task matches at a time.
 BLOCK = 4000
-N2 = 3
+#: Second-level partitions, and how many of them may differ.
+N2, K2 = 3, 1
 
-_FEATURES = "claim_id bigint, fig bigint, txt string, st binary, qt binary, names string"
+_FEATURES = "claim_id bigint, fig bigint, txt binary, st binary, qt binary, names string"
 
 
+@lru_cache(maxsize=4096)
 def band_of(size: int, gamma: float = GAMMA) -> int:
     """The number of the size band: bands are [low, low / gamma], each beginning after the last."""
     low, band = 1, 0
@@ -46,6 +49,7 @@ def band_of(size: int, gamma: float = GAMMA) -> int:
     return band
 
 
+@lru_cache(maxsize=4096)
 def band_top(band: int, gamma: float = GAMMA) -> int:
     low = 1
     for _ in range(band):
@@ -53,36 +57,47 @@ def band_top(band: int, gamma: float = GAMMA) -> int:
     return max(low, int(low / gamma))
 
 
-def signatures(features: list[int], gamma: float = GAMMA) -> list[tuple]:
-    """The PartEnum signatures of a set of feature hashes: those of its own size band and of the one below."""
+@lru_cache(maxsize=4096)
+def first_level(band: int, gamma: float = GAMMA) -> int:
+    """n1 for sets that meet in a band (at most of the size of the next band's top): as many as leave k2 = 1."""
+    largest = band_top(band + 1, gamma)
+    k = int((1 - gamma) / (1 + gamma) * (largest + largest * gamma))
+    return max(1, math.ceil((k + 1) / (K2 + 1)))
+
+
+def signatures(features: list[int], gamma: float = GAMMA) -> list[tuple[int, int, int, int]]:
+    """The PartEnum signatures of a set of feature hashes: those of its own size band and of the one below.
+
+    The content of a second-level partition is kept as the sum of its feature hashes, so that the content of a subset of
+    n2 - 1 of them is the first-level sum less one partition's.
+    """
     out = []
     own = band_of(len(features), gamma)
-    for band in (own, own - 1):
-        if band < 0:
-            continue
-        # Two sets that meet in this band have at most the size of the next band's top.
-        largest = band_top(band + 1, gamma)
-        k = int((1 - gamma) / (1 + gamma) * (largest + largest * gamma))
-        n1 = max(1, math.ceil((k + 1) / 2))
-        k2 = math.ceil((k + 1) / n1) - 1
-        parts = [[[] for _ in range(N2)] for _ in range(n1)]
+    for band in (own, own - 1) if own else (own,):
+        n1 = first_level(band, gamma)
+        cells = [0] * (n1 * N2)
+        n = len(cells)
         for f in features:
-            parts[f % n1][f // n1 % N2].append(f)
-        for i, first in enumerate(parts):
-            for kept in combinations(range(N2), N2 - k2):
-                out.append((band, i, kept, tuple(x for j in kept for x in first[j])))
+            cells[f % n] += f
+        for i in range(0, n, N2):
+            part = cells[i : i + N2]
+            total = sum(part)
+            for j, c in enumerate(part):
+                out.append((band, i, j, total - c))
     return out
 
 
 def _feature_list(st: bytes) -> list[int]:
     """Distinct hashes of the multiset's elements: the second occurrence of a word is another feature."""
-    seen: Counter = Counter()
     out = []
+    last, times = b"", 0
     for i in range(0, len(st), 2):
         w = st[i : i + 2]
-        out.append(int.from_bytes(hashlib.blake2b(w + bytes([seen[w] & 255]), digest_size=6).digest(), "big"))
-        seen[w] += 1
-    return sorted(out)
+        times = times + 1 if w == last else 0
+        last = w
+        x = (int.from_bytes(w, "big") + (times << 16) + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF
+        out.append((x >> 32) * 0x9E3779B97F4A7C15 % 0x1FFFFFFFFFFFFFFF)
+    return out
 
 
 def _similar(a: Counter, na: int, b: Counter, nb: int) -> tuple[float, float, float]:
@@ -185,8 +200,9 @@ def _edges_batch(rows: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def _digest(*parts: str) -> str:
-    return hashlib.blake2b("\x1f".join(parts).encode(), digest_size=12).hexdigest()
+def _digest(*parts: bytes) -> bytes:
+    """A short key of a text; 120 bits, so that unequal texts do not meet by chance."""
+    return hashlib.blake2b(b"\x00\x1f\x00".join(parts), digest_size=15).digest()
 
 
 def _long(text: str) -> int:
@@ -200,10 +216,11 @@ def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             s = plain(s)
             sw, sn = words_and_numbers(s)
             qw, qn = words_and_numbers(plain(q)) if q else ([], [])
-            rows.append((i, _long(" ".join(sorted(sn))), _digest(" ".join(sorted(sw)), " ".join(sorted(sn)), " ".join(sorted(qw)), " ".join(sorted(qn))), bag(sw), bag(qw), " ".join(name_tokens(s))))
+            sb, qb, figures = bag(sw), bag(qw), " ".join(sorted(sn))
+            rows.append((i, _long(figures), _digest(sb, figures.encode(), qb, " ".join(sorted(qn)).encode()), sb, qb, " ".join(name_tokens(s))))
         if rows:
             cols = list(zip(*rows))
-            types = (pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.string())
+            types = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["claim_id", "fig", "txt", "st", "qt", "names"])
 
 
