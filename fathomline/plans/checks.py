@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fathomline.functions import urls as U
 from fathomline.operators import records as R
 from fathomline.operators import validation as V
-from fathomline.plans.domain import C, EV, H, claims, links, stories
+from fathomline.plans.domain import C, EV, H, claims, links, raw_events, stories
 from fathomline.plans.registry import core
 from fathomline.sources.listings import fetch_status, last_page
 from fathomline.sources.tables import table
@@ -75,7 +75,7 @@ def customers_without_orders(spark: SparkSession, d: str) -> DataFrame:
 @core.query("misfiled_claims", f"WITH l AS (SELECT event_id, target_key, unnest(claim_ids) AS claim_id FROM {EV}) SELECT l.event_id, l.claim_id, c.target_key AS filed_under FROM l JOIN {C} c USING (claim_id) WHERE c.target_key <> l.target_key")
 def misfiled_claims(spark: SparkSession, d: str) -> DataFrame:
     """Claims that an event of another target cites."""
-    c = claims(spark, d).select("claim_id", F.col("target_key").alias("filed_under"))
+    c = claims(spark, d, "target_key").select("claim_id", F.col("target_key").alias("filed_under"))
     return links(spark, d).join(c, "claim_id").where("filed_under <> target_key").select("event_id", "claim_id", "filed_under")
 
 
@@ -87,7 +87,7 @@ def resolved_references(spark: SparkSession, d: str) -> DataFrame:
     """References of several types against one table of all objects."""
     parts = [table(spark, d, t).select(F.lit(n).alias("type"), F.col(k).cast("string").alias("id")).distinct() for n, (t, k) in _OBJECTS.items()]
     objects = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).withColumn("known", F.lit(True))
-    ev = R.latest(table(spark, d, "rx_events"), ["event_id"], "ingested_at")
+    ev = raw_events(spark, d)
     refs = links(spark, d).select("event_id", F.lit("claim").alias("type"), F.col("claim_id").cast("string").alias("id")).unionByName(ev.select("event_id", F.lit("episode").alias("type"), F.col("event_id").cast("string").alias("id")))
     return refs.join(objects, ["type", "id"], "left").select("event_id", "type", "id", F.coalesce("known", F.lit(False)).alias("known"))
 
@@ -107,8 +107,8 @@ def catalogue(spark: SparkSession, d: str) -> DataFrame:
     def count(df: DataFrame, name: str, *more) -> DataFrame:
         return df.where("target_key IS NOT NULL").groupBy("target_key").agg(F.count(F.lit(1)).alias(name), *more)
 
-    out = count(claims(spark, d), "n_claims").join(count(R.latest(table(spark, d, "rx_events"), ["event_id"], "ingested_at"), "n_events"), "target_key", "left")
-    out = out.join(count(stories(spark, d), "n_stories", F.sum("points").alias("points")), "target_key", "left")
+    out = count(claims(spark, d, "target_key"), "n_claims").join(count(raw_events(spark, d, "target_key"), "n_events"), "target_key", "left")
+    out = out.join(count(stories(spark, d, "target_key", "points"), "n_stories", F.sum("points").alias("points")), "target_key", "left")
     out = out.join(count(table(spark, d, "detected_episodes").select("target_key", "episode_id").distinct(), "n_episodes"), "target_key", "left")
     return out.select("target_key", "n_claims", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_events", "n_stories", "points", "n_episodes")])
 

@@ -14,24 +14,33 @@ from fathomline.operators.intervals import first_interval, join_intervals, withi
 from fathomline.operators.releases import select_releases as pick_releases
 from fathomline.operators.releases import version_jumps as jumps
 from fathomline.plans.registry import core
-from fathomline.plans.text import _CANON, _RANGE_SQL
+from fathomline.plans.text import _CANON, _QF, _RANGE_SQL
 from fathomline.sources.tables import table
 
 
-def claims(spark: SparkSession, d: str) -> DataFrame:
-    return R.latest(table(spark, d, "extracted_claims"), ["claim_id"], "ingested_at")
+def _newest(spark: SparkSession, d: str, name: str, key: str, columns: tuple[str, ...]) -> DataFrame:
+    """The newest version of each row with only the columns a query needs, so that others are not read."""
+    return R.latest(table(spark, d, name).select(key, "ingested_at", *columns), [key], "ingested_at")
 
 
-def stories(spark: SparkSession, d: str) -> DataFrame:
-    return R.latest(table(spark, d, "hn_stories"), ["id"], "ingested_at")
+def claims(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return _newest(spark, d, "extracted_claims", "claim_id", columns)
 
 
-def posts(spark: SparkSession, d: str) -> DataFrame:
-    return R.latest(table(spark, d, "reddit_posts"), ["id"], "ingested_at")
+def stories(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return _newest(spark, d, "hn_stories", "id", columns)
+
+
+def posts(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return _newest(spark, d, "reddit_posts", "id", columns)
+
+
+def raw_events(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return _newest(spark, d, "rx_events", "event_id", columns)
 
 
 def releases(spark: SparkSession, d: str) -> DataFrame:
-    r = R.latest(table(spark, d, "releases"), ["release_id"], "ingested_at")
+    r = _newest(spark, d, "releases", "release_id", ("target_key", "tag", "published_at", "prerelease"))
     at = D.parse_iso(F.col("published_at"))
     return r.select("target_key", F.col("release_id").alias("id"), "tag", at.alias("at"), at.cast("date").alias("day"), "prerelease")
 
@@ -41,7 +50,7 @@ def episodes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def events(spark: SparkSession, d: str) -> DataFrame:
-    e = R.latest(table(spark, d, "rx_events"), ["event_id"], "ingested_at")
+    e = raw_events(spark, d, "target_key", "event_type", "event_date", "event_date_end", "date_label", "claim_ids")
     e = e.withColumn("r0", D.range_from_partial(F.col("event_date"), F.col("date_label"))).withColumn("r1", D.range_from_partial(F.col("event_date_end")))
     return e.withColumn("r", D.with_end(F.col("r0"), F.col("r1"), F.col("date_label"))).drop("r0", "r1")
 
@@ -63,14 +72,14 @@ evr AS (SELECT event_id, target_key, event_type, claim_ids, s, CASE WHEN s IS NO
 @core.query("latest_stories", f"SELECT id, title, points, num_comments, epoch_us(ingested_at) AS seen_us FROM {H}")
 def latest_stories(spark: SparkSession, d: str) -> DataFrame:
     """The newest version of every story."""
-    return stories(spark, d).select("id", "title", "points", "num_comments", F.unix_micros("ingested_at").alias("seen_us"))
+    return stories(spark, d, "title", "points", "num_comments").select("id", "title", "points", "num_comments", F.unix_micros("ingested_at").alias("seen_us"))
 
 
 @core.query("relevant_stories", f"""WITH h AS (SELECT *, starts_with(matched_by, 'url:') AS strong FROM {H} WHERE target_key IS NOT NULL AND (starts_with(matched_by, 'url:') OR points >= 20)),
     k AS (SELECT *, row_number() OVER (PARTITION BY target_key, strong ORDER BY points DESC, id) AS rank FROM h) SELECT target_key, id, strong, points, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= CASE WHEN strong THEN 20 ELSE 10 END""")
 def relevant_stories(spark: SparkSession, d: str) -> DataFrame:
     """Up to 20 stories that link a target and 10 with 20 points that name it, by points."""
-    s = stories(spark, d).where("target_key IS NOT NULL").withColumn("strong", F.col("matched_by").startswith("url:")).where("strong OR points >= 20")
+    s = stories(spark, d, "target_key", "title", "url", "author", "points", "matched_by").where("target_key IS NOT NULL").withColumn("strong", F.col("matched_by").startswith("url:")).where("strong OR points >= 20")
     ranked = R.top_per_key(s, ["target_key", "strong"], [F.desc("points"), F.col("id")], 20)
     return ranked.where("strong OR rank <= 10").select("target_key", "id", "strong", "points", "rank")
 
@@ -81,7 +90,7 @@ au AS (SELECT DISTINCT target_key, author FROM ok WHERE prio < 4 AND author IS N
 
 
 def _relevant(spark: SparkSession, d: str) -> DataFrame:
-    p = posts(spark, d).where("removed_by_category IS NULL AND NOT coalesce(over_18, false) AND score >= 1 AND target_key IS NOT NULL")
+    p = posts(spark, d, "target_key", "title", "score", "author", "removed_by_category", "over_18", "matched_by").where("removed_by_category IS NULL AND NOT coalesce(over_18, false) AND score >= 1 AND target_key IS NOT NULL")
     prio = F.when(F.col("matched_by") == "link", 1).when(F.col("matched_by") == "title", 2).when(F.col("matched_by") == "text", 3).when(F.col("matched_by") == "author", 4)
     p = p.withColumn("prio", prio)
     authors = p.where("prio < 4 AND author IS NOT NULL").select("target_key", "author").distinct()
@@ -108,7 +117,7 @@ def top_authors(spark: SparkSession, d: str) -> DataFrame:
 def early_stories(spark: SparkSession, d: str) -> DataFrame:
     """Stories against the start of their project: those more than 30 days before it are dropped unless they link it."""
     begun = releases(spark, d).where("target_key IS NOT NULL").groupBy("target_key").agg(F.min("day").alias("begun")).where("begun IS NOT NULL")
-    s = stories(spark, d).select("id", "target_key", D.parse_iso(F.col("created_at")).cast("date").alias("day"), "matched_by").where("day IS NOT NULL").join(begun, "target_key")
+    s = stories(spark, d, "target_key", "title", "url", "created_at", "matched_by").select("id", "target_key", D.parse_iso(F.col("created_at")).cast("date").alias("day"), "matched_by").where("day IS NOT NULL").join(begun, "target_key")
     use = F.when((F.col("day") < F.date_sub("begun", 30)) & (F.col("matched_by") != "url:repo"), "drop").when(F.col("matched_by") == "title:mention", "weak").otherwise("keep")
     return s.select("id", "target_key", "day", "begun", use.alias("use"))
 
@@ -116,14 +125,14 @@ def early_stories(spark: SparkSession, d: str) -> DataFrame:
 @core.query("notable_stories", f"SELECT id, target_key, points, strftime(TRY_CAST(created_at AS TIMESTAMPTZ) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ') AS at, 'Hacker News post with ' || points || ' points' AS summary FROM {H} WHERE points >= 100")
 def notable_stories(spark: SparkSession, d: str) -> DataFrame:
     """Stories of at least 100 points as event rows."""
-    s = stories(spark, d).where("points >= 100")
+    s = stories(spark, d, "target_key", "created_at", "points").where("points >= 100")
     return s.select("id", "target_key", "points", D.iso(D.parse_iso(F.col("created_at"))).alias("at"), F.concat(F.lit("Hacker News post with "), F.col("points").cast("string"), F.lit(" points")).alias("summary"))
 
 
 @core.query("metric_claims", f"SELECT claim_id FROM {C} WHERE kind IN ('metric', 'funding', 'pricing', 'team') OR regexp_matches(statement, '\\d')")
 def metric_claims(spark: SparkSession, d: str) -> DataFrame:
     """Claims that may hold a metric: of a metric kind or with a digit."""
-    return claims(spark, d).where(F.col("kind").isin("metric", "funding", "pricing", "team") | F.col("statement").rlike(r"\d")).select("claim_id")
+    return claims(spark, d, "statement", "kind", "metric").where(F.col("kind").isin("metric", "funding", "pricing", "team") | F.col("statement").rlike(r"\d")).select("claim_id")
 
 
 @core.query("evidence_classes", f"""SELECT claim_id, CASE WHEN speaker = 'company_or_founder' AND metric IS NOT NULL THEN 'company_measured' WHEN speaker = 'company_or_founder' THEN 'documented' WHEN speaker = 'third_party' AND metric IS NOT NULL THEN 'third_party_measured'
@@ -135,7 +144,7 @@ def evidence_classes(spark: SparkSession, d: str) -> DataFrame:
         F.when((sp == "company_or_founder") & m, "company_measured").when(sp == "company_or_founder", "documented").when((sp == "third_party") & m, "third_party_measured")
         .when(sp == "third_party", "third_party_reported").when(sp == "community", "third_party_reported").otherwise("unknown")
     )
-    return claims(spark, d).select("claim_id", cls.alias("derived"), "evidence_class")
+    return claims(spark, d, "speaker", "evidence_class", "metric").select("claim_id", cls.alias("derived"), "evidence_class")
 
 
 # Releases
@@ -195,7 +204,7 @@ def dated_events_near_episodes(spark: SparkSession, d: str) -> DataFrame:
     SELECT id, episode_id FROM h JOIN ep USING (target_key) WHERE day BETWEEN start_day AND end_day QUALIFY row_number() OVER (PARTITION BY id ORDER BY start_day, episode_id) = 1""")
 def first_episode_of_story(spark: SparkSession, d: str) -> DataFrame:
     """The first episode during which a story was posted."""
-    s = stories(spark, d).select(F.col("id").alias("l_id"), "target_key", D.parse_iso(F.col("created_at")).cast("date").alias("l_start")).where("l_start IS NOT NULL")
+    s = stories(spark, d, "target_key", "created_at").select(F.col("id").alias("l_id"), "target_key", D.parse_iso(F.col("created_at")).cast("date").alias("l_start")).where("l_start IS NOT NULL")
     e = episodes(spark, d).select("episode_id", "target_key", F.col("start_day").alias("r_start"), F.col("end_day").alias("r_end"))
     return first_interval(s, e, ["target_key"], ["r_start", "episode_id"]).select(F.col("l_id").alias("id"), "episode_id")
 
@@ -204,13 +213,13 @@ _LINKS = f"links AS (SELECT event_id, target_key, unnest(claim_ids) AS claim_id
 
 
 def links(spark: SparkSession, d: str) -> DataFrame:
-    return R.latest(table(spark, d, "rx_events"), ["event_id"], "ingested_at").select("event_id", "target_key", F.explode("claim_ids").alias("claim_id"))
+    return raw_events(spark, d, "target_key", "claim_ids").select("event_id", "target_key", F.explode("claim_ids").alias("claim_id"))
 
 
 @core.query("event_evidence", f"WITH {_LINKS} SELECT l.event_id, l.claim_id, c.source_url, c.evidence_class, c.certainty FROM links l JOIN {C} c ON c.claim_id = l.claim_id AND c.target_key = l.target_key")
 def event_evidence(spark: SparkSession, d: str) -> DataFrame:
     """The claims and sources behind every event."""
-    return links(spark, d).join(claims(spark, d).select("claim_id", "target_key", "source_url", "evidence_class", "certainty"), ["claim_id", "target_key"]).select("event_id", "claim_id", "source_url", "evidence_class", "certainty")
+    return links(spark, d).join(claims(spark, d, "target_key", "source_url", "evidence_class", "certainty").select("claim_id", "target_key", "source_url", "evidence_class", "certainty"), ["claim_id", "target_key"]).select("event_id", "claim_id", "source_url", "evidence_class", "certainty")
 
 
 @core.query("dangling_claims", f"WITH {_LINKS} SELECT event_id, claim_id FROM links l WHERE claim_id IS NOT NULL AND target_key IS NOT NULL AND NOT EXISTS (SELECT 1 FROM extracted_claims c WHERE c.claim_id = l.claim_id AND c.target_key = l.target_key)")
@@ -228,7 +237,7 @@ def uncited_claims(spark: SparkSession, d: str) -> DataFrame:
 @core.query("cited_sources", f"WITH {_LINKS} SELECT DISTINCT source_url FROM {C} c WHERE source_url IS NOT NULL AND claim_id IN (SELECT claim_id FROM links)")
 def cited_sources(spark: SparkSession, d: str) -> DataFrame:
     """Sources of the claims that events cite."""
-    return claims(spark, d).where("source_url IS NOT NULL").join(links(spark, d).select("claim_id").distinct(), "claim_id", "left_semi").select("source_url").distinct()
+    return claims(spark, d, "source_url").where("source_url IS NOT NULL").join(links(spark, d).select("claim_id").distinct(), "claim_id", "left_semi").select("source_url").distinct()
 
 
 @core.query("event_date_consistency", f"""WITH {_EVR}, cl AS (SELECT claim_id, claim_date AS value, date_label AS lab FROM {C}), ce AS (SELECT event_id, unnest(claim_ids) AS claim_id FROM evr),
@@ -239,7 +248,7 @@ def cited_sources(spark: SparkSession, d: str) -> DataFrame:
 def event_date_consistency(spark: SparkSession, d: str) -> DataFrame:
     """Whether every event's time fits the times of its claims."""
     e = events(spark, d).select("event_id", F.col("r.start").alias("s"), F.coalesce("r.end", "r.start").alias("e"), "claim_ids")
-    c = claims(spark, d).select("claim_id", D.range_from_partial(F.col("claim_date"), F.col("date_label")).alias("cr"))
+    c = claims(spark, d, "claim_date", "date_label").select("claim_id", D.range_from_partial(F.col("claim_date"), F.col("date_label")).alias("cr"))
     pairs = e.select("event_id", "s", "e", F.explode("claim_ids").alias("claim_id")).join(c, "claim_id")
     fits = (F.col("cr.start").cast("date") <= F.col("e").cast("date")) & (F.col("s").cast("date") <= F.col("cr.end").cast("date"))
     j = pairs.groupBy("event_id").agg(F.bool_or(F.coalesce(fits, F.lit(False))).alias("fits"), F.bool_or(F.col("cr.start").isNotNull()).alias("dated"))
@@ -251,7 +260,7 @@ def event_date_consistency(spark: SparkSession, d: str) -> DataFrame:
     SELECT wording, count(*) AS n_links, count(DISTINCT source_url) AS n_sources, CASE WHEN count(DISTINCT source_url) > 1 THEN 'multi_source_consistent' ELSE 'single_source' END AS corroboration FROM k GROUP BY 1""")
 def corroborated_statements(spark: SparkSession, d: str) -> DataFrame:
     """Statements in the same words with their distinct sources."""
-    c = claims(spark, d).where("statement IS NOT NULL").select(T.wording_key(F.col("statement")).alias("wording"), "source_url")
+    c = claims(spark, d, "source_url", "statement").where("statement IS NOT NULL").select(T.wording_key(F.col("statement")).alias("wording"), "source_url")
     return E.corroboration(c, "wording", "source_url")
 
 
@@ -261,7 +270,7 @@ def corroborated_statements(spark: SparkSession, d: str) -> DataFrame:
     HAVING count(DISTINCT v) >= 2 AND count(DISTINCT claim_id) >= 2 AND (max(v) = 0 OR (max(v) - min(v)) / max(v) >= 0.03)""")
 def metric_conflicts(spark: SparkSession, d: str) -> DataFrame:
     """Metrics of one target and period that claims state with different values."""
-    c = claims(spark, d).select("claim_id", "target_key", F.col("metric.metric_name").alias("metric_name"), F.col("metric.metric_value").alias("mv"), D.range_from_partial(F.col("claim_date"), F.col("date_label")).alias("r"))
+    c = claims(spark, d, "target_key", "claim_date", "date_label", "metric").select("claim_id", "target_key", F.col("metric.metric_name").alias("metric_name"), F.col("metric.metric_value").alias("mv"), D.range_from_partial(F.col("claim_date"), F.col("date_label")).alias("r"))
     period = F.when(F.col("r.precision") == "year", F.date_format("r.start", "yyyy")).otherwise(F.date_format("r.start", "yyyy-MM"))
     return E.conflicts(c.withColumn("period", period), ["target_key", "metric_name", "period"], "mv", "claim_id")
 
@@ -269,21 +278,21 @@ def metric_conflicts(spark: SparkSession, d: str) -> DataFrame:
 @core.query("merged_claims")
 def merged_claims(spark: SparkSession, d: str) -> DataFrame:
     """Claims of the same kind, day and numbers in near-identical words, merged into the earliest."""
-    return E.merge_claims(claims(spark, d).select("claim_id", "kind", F.col("claim_date").alias("day"), "statement"))
+    return E.merge_claims(claims(spark, d, "statement", "kind", "claim_date").select("claim_id", "kind", F.col("claim_date").alias("day"), "statement"))
 
 
 @core.query("merge_candidates", f"""WITH k AS (SELECT claim_id, coalesce(kind, '') AS kind, coalesce(claim_date, '') AS day, array_to_string(list_sort(regexp_extract_all(statement, '\\d[\\d,]*(?:\\.\\d+)?')), '|') AS numbers FROM {C} WHERE statement IS NOT NULL)
     SELECT kind, day, numbers, count(*) AS n, min(claim_id) AS first_id FROM k GROUP BY 1, 2, 3 HAVING count(*) > 1""")
 def merge_candidates(spark: SparkSession, d: str) -> DataFrame:
     """Blocks of claims that may be merged."""
-    c = claims(spark, d).where("statement IS NOT NULL").select("claim_id", F.coalesce("kind", F.lit("")).alias("kind"), F.coalesce("claim_date", F.lit("")).alias("day"), F.array_join(T.numbers_in(F.col("statement")), "|").alias("numbers"))
+    c = claims(spark, d, "statement", "kind", "claim_date").where("statement IS NOT NULL").select("claim_id", F.coalesce("kind", F.lit("")).alias("kind"), F.coalesce("claim_date", F.lit("")).alias("day"), F.array_join(T.numbers_in(F.col("statement")), "|").alias("numbers"))
     return c.groupBy("kind", "day", "numbers").agg(F.count(F.lit(1)).alias("n"), F.min("claim_id").alias("first_id")).where("n > 1")
 
 
 @core.query("metric_cards", f"SELECT target_key, metric.metric_name AS metric_name, count(*) AS n_points, min(metric.metric_value) AS lowest, max(metric.metric_value) AS highest, count(*) >= 3 AS is_series FROM {C} WHERE metric.metric_value IS NOT NULL AND target_key IS NOT NULL GROUP BY 1, 2")
 def metric_cards(spark: SparkSession, d: str) -> DataFrame:
     """Metrics of each target: a card each, a series from three points on."""
-    c = claims(spark, d).where("metric.metric_value IS NOT NULL AND target_key IS NOT NULL").select("target_key", F.col("metric.metric_name").alias("metric_name"), F.col("metric.metric_value").alias("v"))
+    c = claims(spark, d, "target_key", "metric").where("metric.metric_value IS NOT NULL AND target_key IS NOT NULL").select("target_key", F.col("metric.metric_name").alias("metric_name"), F.col("metric.metric_value").alias("v"))
     return c.groupBy("target_key", "metric_name").agg(F.count(F.lit(1)).alias("n_points"), F.min("v").alias("lowest"), F.max("v").alias("highest")).withColumn("is_series", F.col("n_points") >= 3)
 
 
@@ -291,14 +300,14 @@ def metric_cards(spark: SparkSession, d: str) -> DataFrame:
     FROM links l JOIN {C} c ON c.claim_id = l.claim_id WHERE evidence_class IS NOT NULL GROUP BY 1""")
 def strongest_evidence(spark: SparkSession, d: str) -> DataFrame:
     """The strongest evidence class behind every event."""
-    return links(spark, d).join(claims(spark, d).where("evidence_class IS NOT NULL").select("claim_id", "evidence_class"), "claim_id").groupBy("event_id").agg(E.strongest(F.col("evidence_class")).alias("strongest"))
+    return links(spark, d).join(claims(spark, d, "evidence_class").where("evidence_class IS NOT NULL").select("claim_id", "evidence_class"), "claim_id").groupBy("event_id").agg(E.strongest(F.col("evidence_class")).alias("strongest"))
 
 
 @core.query("metric_attribution", f"""SELECT metric.metric_name AS metric_name, CASE WHEN bool_and(speaker = 'company_or_founder') THEN 'company' WHEN bool_or(speaker = 'company_or_founder') THEN 'mixed' ELSE 'others' END AS attribution
     FROM {C} WHERE metric IS NOT NULL AND speaker IS NOT NULL GROUP BY 1""")
 def metric_attribution(spark: SparkSession, d: str) -> DataFrame:
     """Who states each metric."""
-    c = claims(spark, d).where("metric IS NOT NULL AND speaker IS NOT NULL").select(F.col("metric.metric_name").alias("metric_name"), (F.col("speaker") == "company_or_founder").alias("own"))
+    c = claims(spark, d, "speaker", "metric").where("metric IS NOT NULL AND speaker IS NOT NULL").select(F.col("metric.metric_name").alias("metric_name"), (F.col("speaker") == "company_or_founder").alias("own"))
     return c.groupBy("metric_name").agg(F.when(F.bool_and("own"), "company").when(F.bool_or("own"), "mixed").otherwise("others").alias("attribution"))
 
 
@@ -306,7 +315,7 @@ def metric_attribution(spark: SparkSession, d: str) -> DataFrame:
     SELECT target_key, name, n FROM n QUALIFY row_number() OVER (PARTITION BY target_key ORDER BY n DESC, name) = 1""")
 def display_names(spark: SparkSession, d: str) -> DataFrame:
     """The most frequent capitalised word in the titles about each target."""
-    w = stories(spark, d).where("target_key IS NOT NULL").select("target_key", F.explode(F.regexp_extract_all("title", F.lit("[A-Z][a-z]{6,}"), F.lit(0))).alias("name"))
+    w = stories(spark, d, "target_key", "title").where("target_key IS NOT NULL").select("target_key", F.explode(F.regexp_extract_all("title", F.lit("[A-Z][a-z]{6,}"), F.lit(0))).alias("name"))
     return R.top_per_key(w.groupBy("target_key", "name").agg(F.count(F.lit(1)).alias("n")), ["target_key"], [F.desc("n"), F.col("name")], 1).select("target_key", "name", "n")
 
 
@@ -314,7 +323,7 @@ def display_names(spark: SparkSession, d: str) -> DataFrame:
 def source_index(spark: SparkSession, d: str) -> DataFrame:
     """Every source with its claims and their uses."""
     uses = links(spark, d).groupBy("claim_id").agg(F.count(F.lit(1)).alias("n"))
-    c = claims(spark, d).where("source_url IS NOT NULL").select("claim_id", "source_url", "ingested_at").join(uses, "claim_id", "left")
+    c = claims(spark, d, "source_url").where("source_url IS NOT NULL").select("claim_id", "source_url", "ingested_at").join(uses, "claim_id", "left")
     return c.groupBy("source_url").agg(F.count(F.lit(1)).alias("n_claims"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_uses"), F.max(F.unix_micros("ingested_at")).alias("last_seen_us"))
 
 
@@ -327,7 +336,7 @@ def first_known_values(spark: SparkSession, d: str) -> DataFrame:
 @core.query("one_excerpt_per_source", f"SELECT source_url, claim_id FROM {C} WHERE source_url IS NOT NULL AND quote IS NOT NULL AND length(quote) <= 300 QUALIFY row_number() OVER (PARTITION BY source_url ORDER BY claim_id) = 1")
 def one_excerpt_per_source(spark: SparkSession, d: str) -> DataFrame:
     """The first claim of each source whose quote is short enough to show."""
-    c = claims(spark, d).where("source_url IS NOT NULL AND quote IS NOT NULL AND length(quote) <= 300")
+    c = claims(spark, d, "source_url", "quote").where("source_url IS NOT NULL AND quote IS NOT NULL AND length(quote) <= 300")
     return c.groupBy("source_url").agg(F.min("claim_id").alias("claim_id"))
 
 
@@ -336,7 +345,7 @@ def source_numbers(spark: SparkSession, d: str) -> DataFrame:
     """Sources numbered by their first citation, over all rows without one global window."""
     from fathomline.operators.numbering import number_rows
 
-    f = claims(spark, d).where("source_url IS NOT NULL").groupBy("source_url").agg(F.min("claim_id").alias("first_claim"))
+    f = claims(spark, d, "source_url").where("source_url IS NOT NULL").groupBy("source_url").agg(F.min("claim_id").alias("first_claim"))
     return number_rows(f, ["first_claim"], "number")
 
 
@@ -353,8 +362,8 @@ def new_feed_items(spark: SparkSession, d: str) -> DataFrame:
 @core.query("shared_titles", f"SELECT h.id AS story_id, p.id AS post_id FROM {H} h JOIN {P} p ON p.title = h.title AND p.target_key = h.target_key")
 def shared_titles(spark: SparkSession, d: str) -> DataFrame:
     """Stories and posts of one target with the same title."""
-    a = stories(spark, d).select(F.col("id").alias("story_id"), "title", "target_key")
-    return a.join(posts(spark, d).select(F.col("id").alias("post_id"), "title", "target_key"), ["title", "target_key"]).select("story_id", "post_id")
+    a = stories(spark, d, "target_key", "title").select(F.col("id").alias("story_id"), "title", "target_key")
+    return a.join(posts(spark, d, "target_key", "title").select(F.col("id").alias("post_id"), "title", "target_key"), ["title", "target_key"]).select("story_id", "post_id")
 
 
 _CHOST = "regexp_replace(lower(regexp_extract(source_url, '^https?://([^/?#]*)', 1)), '^www\\.', '')"
@@ -363,14 +372,14 @@ _CHOST = "regexp_replace(lower(regexp_extract(source_url, '^https?://([^/?#]*)',
 @core.query("sources_in_corpus", f"SELECT claim_id, {_CHOST} AS host FROM {C} WHERE source_url IS NOT NULL AND {_CHOST} IN (SELECT source FROM documents WHERE source IS NOT NULL)")
 def sources_in_corpus(spark: SparkSession, d: str) -> DataFrame:
     """Claims whose source lies on a host of the corpus."""
-    c = claims(spark, d).where("source_url IS NOT NULL").select("claim_id", U.host(F.col("source_url")).alias("host"))
+    c = claims(spark, d, "source_url").where("source_url IS NOT NULL").select("claim_id", U.host(F.col("source_url")).alias("host"))
     return c.join(table(spark, d, "documents").select(F.col("source").alias("host")).distinct(), "host", "left_semi").select("claim_id", "host")
 
 
 @core.query("sources_missing_from_corpus", f"SELECT claim_id, {_CHOST} AS host FROM {C} WHERE source_url IS NOT NULL AND {_CHOST} NOT IN (SELECT source FROM documents WHERE source IS NOT NULL)")
 def sources_missing_from_corpus(spark: SparkSession, d: str) -> DataFrame:
     """Claims whose source lies on no host of the corpus."""
-    c = claims(spark, d).select("claim_id", U.host(F.col("source_url")).alias("host"))
+    c = claims(spark, d, "source_url").select("claim_id", U.host(F.col("source_url")).alias("host"))
     return E.dangling(c, ["host"], table(spark, d, "documents"), ["source"]).select("claim_id", "host")
 
 
@@ -381,8 +390,8 @@ def all_events(spark: SparkSession, d: str) -> DataFrame:
     def part(df: DataFrame, kind: str, key: str) -> DataFrame:
         return df.select(F.lit(kind).alias("kind"), F.col(key).cast("string").alias("id"), "target_key")
 
-    ev = R.latest(table(spark, d, "rx_events"), ["event_id"], "ingested_at")
-    return part(stories(spark, d), "story", "id").unionByName(part(posts(spark, d), "post", "id")).unionByName(part(ev, "event", "event_id")).unionByName(part(releases(spark, d), "release", "id"))
+    ev = raw_events(spark, d, "target_key")
+    return part(stories(spark, d, "target_key"), "story", "id").unionByName(part(posts(spark, d, "target_key"), "post", "id")).unionByName(part(ev, "event", "event_id")).unionByName(part(releases(spark, d), "release", "id"))
 
 
 @core.query("live_claim_lists", f"""WITH dead AS (SELECT claim_id FROM {C} WHERE is_allegation_only), x AS (SELECT event_id, unnest(claim_ids) AS claim_id, generate_subscripts(claim_ids, 1) AS pos FROM {EV}),
@@ -390,8 +399,8 @@ def all_events(spark: SparkSession, d: str) -> DataFrame:
     SELECT event_id, coalesce(live, '') AS live FROM {EV} e LEFT JOIN k USING (event_id) WHERE claim_ids IS NOT NULL""")
 def live_claim_lists(spark: SparkSession, d: str) -> DataFrame:
     """Claim lists of events without claims that are allegations only, in their order."""
-    ev = R.latest(table(spark, d, "rx_events"), ["event_id"], "ingested_at").where("claim_ids IS NOT NULL").select("event_id", F.posexplode_outer("claim_ids").alias("pos", "claim_id"))
-    dead = claims(spark, d).where("is_allegation_only").select("claim_id", F.lit(True).alias("dead"))
+    ev = raw_events(spark, d, "claim_ids").where("claim_ids IS NOT NULL").select("event_id", F.posexplode_outer("claim_ids").alias("pos", "claim_id"))
+    dead = claims(spark, d, "is_allegation_only").where("is_allegation_only").select("claim_id", F.lit(True).alias("dead"))
     kept = F.when(F.col("dead").isNull() & F.col("claim_id").isNotNull(), F.struct("pos", "claim_id"))
     lists = ev.join(dead, "claim_id", "left").groupBy("event_id").agg(F.sort_array(F.collect_list(kept)).alias("l"))
     return lists.select("event_id", F.array_join(F.transform("l", lambda x: x["claim_id"].cast("string")), ",").alias("live"))
@@ -402,7 +411,7 @@ def live_claim_lists(spark: SparkSession, d: str) -> DataFrame:
 def pruned_events(spark: SparkSession, d: str) -> DataFrame:
     """Events that lose claims with sensitive or alleged content."""
     l = links(spark, d).select(F.concat(F.lit("e"), F.col("event_id")).alias("id"), F.concat(F.lit("c"), F.col("claim_id")).alias("rests_on"))
-    dead = claims(spark, d).where("is_allegation_only OR is_negative_sensitive").select(F.concat(F.lit("c"), F.col("claim_id")).alias("id"))
+    dead = claims(spark, d, "is_negative_sensitive", "is_allegation_only").where("is_allegation_only OR is_negative_sensitive").select(F.concat(F.lit("c"), F.col("claim_id")).alias("id"))
     out = E.prune(l.select("id").distinct(), l, dead)
     return out.select(F.substring("id", 2, 30).cast("bigint").alias("event_id"), "fate")
 
@@ -414,7 +423,7 @@ def pruned_events(spark: SparkSession, d: str) -> DataFrame:
       UNION ALL SELECT target_key, 'no_first_users' FROM t WHERE target_key NOT IN (SELECT target_key FROM rx_events WHERE event_type = 'first_users' AND target_key IS NOT NULL)) SELECT * FROM g""")
 def gap_rows(spark: SparkSession, d: str) -> DataFrame:
     """What is missing for each target."""
-    c = claims(spark, d).where("target_key IS NOT NULL")
+    c = claims(spark, d, "target_key", "metric").where("target_key IS NOT NULL")
     t = c.select("target_key").distinct()
     has = {
         "unknown_metric": c.where("metric IS NOT NULL"), "no_releases": table(spark, d, "releases"), "no_growth_episode": table(spark, d, "detected_episodes"),
@@ -428,7 +437,7 @@ def gap_rows(spark: SparkSession, d: str) -> DataFrame:
     array_to_string(list_sort(list(DISTINCT kind)), ',') AS kinds FROM {C} WHERE target_key IS NOT NULL GROUP BY 1""")
 def target_overview(spark: SparkSession, d: str) -> DataFrame:
     """Counts, kinds and mean certainty of the claims of each target."""
-    c = claims(spark, d).where("target_key IS NOT NULL")
+    c = claims(spark, d, "target_key", "kind", "metric", "is_negative_sensitive", "certainty").where("target_key IS NOT NULL")
     return c.groupBy("target_key").agg(
         F.count(F.lit(1)).alias("n_claims"), F.count_distinct("kind").alias("n_kinds"), F.count("metric").alias("n_metrics"), F.count_if("is_negative_sensitive").alias("n_sensitive"),
         F.round(F.avg("certainty"), 6).alias("certainty"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"),
@@ -438,7 +447,7 @@ def target_overview(spark: SparkSession, d: str) -> DataFrame:
 @core.query("audit_sample")
 def audit_sample(spark: SparkSession, d: str) -> DataFrame:
     """A seeded sample of four sourced claims of each target."""
-    c = claims(spark, d).where("source_url IS NOT NULL AND target_key IS NOT NULL")
+    c = claims(spark, d, "target_key", "source_url").where("source_url IS NOT NULL AND target_key IS NOT NULL")
     return R.top_per_key(c, ["target_key"], [F.xxhash64("claim_id", F.lit(20)), F.col("claim_id")], 4).select("target_key", "claim_id", "rank")
 
 
@@ -447,7 +456,7 @@ def audit_sample(spark: SparkSession, d: str) -> DataFrame:
     SELECT target_key, metric_name, n, v AS last_value FROM n JOIN l USING (target_key, metric_name) QUALIFY row_number() OVER (PARTITION BY target_key ORDER BY n DESC, metric_name) <= 4""")
 def latest_metric_stats(spark: SparkSession, d: str) -> DataFrame:
     """The last value of the four best documented metrics of each target."""
-    m = claims(spark, d).where("metric.metric_value IS NOT NULL AND target_key IS NOT NULL").select("target_key", F.col("metric.metric_name").alias("metric_name"), F.col("metric.metric_value").alias("v"), F.coalesce("claim_date", F.lit("")).alias("at"), "claim_id")
+    m = claims(spark, d, "target_key", "claim_date", "metric").where("metric.metric_value IS NOT NULL AND target_key IS NOT NULL").select("target_key", F.col("metric.metric_name").alias("metric_name"), F.col("metric.metric_value").alias("v"), F.coalesce("claim_date", F.lit("")).alias("at"), "claim_id")
     s = m.groupBy("target_key", "metric_name").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("at", "claim_id", "v")).getField("v").alias("last_value"))
     return R.top_per_key(s, ["target_key"], [F.desc("n"), F.col("metric_name")], 4).select("target_key", "metric_name", "n", "last_value")
 
@@ -459,3 +468,44 @@ def latest_feed_items(spark: SparkSession, d: str) -> DataFrame:
     return R.top_per_key(f, ["target_key"], [F.desc_nulls_first("url"), F.col("item_id")], 120).select("target_key", "item_id", "title")
 
 
+
+
+_LABELS = {"launch": "Launch", "product_hunt_launch": "Launch", "show_hn": "Show HN", "hacker_news_post": "Hacker News", "reddit_post": "Reddit", "release": "Release", "funding": "Funding", "press": "Press", "reversal": "Reversal"}
+_SURFACES = {"show_hn": "hacker_news", "hacker_news_post": "hacker_news", "reddit_post": "reddit", "product_hunt_launch": "product_hunt", "release": "github"}
+
+
+def _case(column: str, values: dict[str, str], other: str) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in values.items()) + f" ELSE '{other}' END"
+
+
+@core.query("event_labels", f"SELECT event_id, {_case('event_type', _LABELS, 'Event')} AS label, {_case('event_type', _SURFACES, 'web')} AS surface FROM {EV}")
+def event_labels(spark: SparkSession, d: str) -> DataFrame:
+    """The label and surface of every event, from a literal map."""
+    e = raw_events(spark, d, "event_type")
+    return e.select("event_id", F.expr(_case("event_type", _LABELS, "Event")).alias("label"), F.expr(_case("event_type", _SURFACES, "web")).alias("surface"))
+
+
+@core.query("reversals", f"SELECT event_id, target_key, title FROM {EV} WHERE event_type IN ('reversal', 'strategy_change')")
+def reversals(spark: SparkSession, d: str) -> DataFrame:
+    """Events that turn back an earlier decision."""
+    return raw_events(spark, d, "event_type", "target_key", "title").where(F.col("event_type").isin("reversal", "strategy_change")).select("event_id", "target_key", "title")
+
+
+@core.query("crowded_sources", f"SELECT target_key, {_CHOST} AS host, count(*) AS n_quotes FROM {C} WHERE source_url IS NOT NULL AND quote IS NOT NULL AND target_key IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1")
+def crowded_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Hosts that are quoted more than once about a target."""
+    c = claims(spark, d, "target_key", "source_url", "quote").where("source_url IS NOT NULL AND quote IS NOT NULL AND target_key IS NOT NULL")
+    return c.groupBy("target_key", U.host(F.col("source_url")).alias("host")).agg(F.count(F.lit(1)).alias("n_quotes")).where("n_quotes > 1")
+
+
+_QQ = r"regexp_replace(regexp_replace({0}, '^[ .\"''…]+', ''), '[ .\"''…]+$', '')".replace('\\"', '"')
+
+
+@core.query("summaries_in_claims", f"""WITH {_LINKS}, e AS (SELECT event_id, regexp_extract(summary, '^[^.!?]*', 0) AS q FROM {EV} WHERE summary IS NOT NULL), j AS (SELECT l.event_id, l.claim_id, {_QQ.format(_QF.format('e.q'))} AS q, {_QF.format('c.statement')} AS t
+      FROM links l JOIN e USING (event_id) JOIN {C} c ON c.claim_id = l.claim_id WHERE c.statement IS NOT NULL) SELECT event_id, claim_id, length(q) >= 12 AND contains(t, q) AS contained FROM j""")
+def summaries_in_claims(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the first sentence of an event's summary stands in the statements of its claims."""
+    e = raw_events(spark, d, "summary").where("summary IS NOT NULL").select("event_id", F.regexp_extract("summary", "^[^.!?]*", 0).alias("q"))
+    c = claims(spark, d, "statement").where("statement IS NOT NULL")
+    j = links(spark, d).join(e, "event_id").join(c, "claim_id")
+    return j.select("event_id", "claim_id", T.quote_in_text(F.col("q"), F.col("statement")).alias("contained"))

@@ -6,12 +6,18 @@ from fathomline.operators import series as S
 from fathomline.streaming import growth as G
 
 
-def _run(spark, stream, name, mode="append"):
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+def _run(spark, stream, name):
+    q = stream.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(120)
     return spark.table(name)
 
 
+def _files(df, path, parts):
+    """One file for each part, in order, so that the watermark advances between batches."""
+    for i, p in enumerate(parts):
+        df.where(p).coalesce(1).write.parquet(f"{path}/{i}")
+
+
 def test_spikes_equal_batch(spark, tmp_path):
     gains = [3] * 20 + [0, 0, 90, 40] + [2] * 10
     rows = [("a", date(2024, 1, 1) + timedelta(days=i), g) for i, g in enumerate(gains) if g]
@@ -25,11 +31,11 @@ def test_spikes_equal_batch(spark, tmp_path):
 
 def test_sessions_and_days(spark, tmp_path):
     t0 = datetime(2024, 1, 1)
-    rows = [("a", t0, True, 1), ("a", t0 + timedelta(days=2), False, 2), ("a", t0 + timedelta(days=12), False, 4), ("a", t0 + timedelta(days=40), True, 8)]
+    rows = [("a", t0, True, 1), ("a", t0 + timedelta(days=2), False, 2), ("a", t0 + timedelta(days=12), False, 4), ("a", t0 + timedelta(days=40), True, 8), ("a", t0 + timedelta(days=80), True, 16)]
     df = spark.createDataFrame(rows, "series_id string, ts timestamp, strong boolean, gain int")
-    df.coalesce(1).write.parquet(str(tmp_path / "in"))
-    source = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    s = _run(spark, G.launch_sessions(source), "sessions", "complete" if False else "append")
-    assert {(r["anchor"], r["n_events"]) for r in s.collect()} <= {(t0, 2), (t0 + timedelta(days=40), 1)}
-    d = _run(spark, G.daily_gains(source), "days")
-    assert {r["gain"] for r in d.collect()} <= {1, 2, 4, 8}
+    _files(df, str(tmp_path / "in"), ["gain <= 2", "gain = 4", "gain = 8", "gain = 16"])
+    source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    sessions = {(r["anchor"], r["n_events"]) for r in _run(spark, G.launch_sessions(source), "sessions").collect()}
+    assert (t0, 2) in sessions and sessions <= {(t0, 2), (t0 + timedelta(days=40), 1)}
+    days = {(r["day"], r["gain"]) for r in _run(spark, G.daily_gains(source), "days").collect()}
+    assert {(date(2024, 1, 1), 1), (date(2024, 1, 3), 2), (date(2024, 1, 13), 4)} <= days
