@@ -509,3 +509,21 @@ def summaries_in_claims(spark: SparkSession, d: str) -> DataFrame:
     c = claims(spark, d, "statement").where("statement IS NOT NULL")
     j = links(spark, d).join(e, "event_id").join(c, "claim_id")
     return j.select("event_id", "claim_id", T.quote_in_text(F.col("q"), F.col("statement")).alias("contained"))
+
+
+@core.query("home_hosts", rf"""WITH s AS (SELECT target_key, {_CHOST.replace('source_url', 'url')} AS host, count(*) AS n_stories FROM {H} WHERE url IS NOT NULL AND target_key IS NOT NULL GROUP BY 1, 2),
+    r AS (SELECT DISTINCT target_key, {_CHOST.replace('source_url', 'url')} AS host FROM search_results WHERE url IS NOT NULL AND target_key IS NOT NULL)
+    SELECT target_key, host, n_stories FROM s JOIN r USING (target_key, host) WHERE host <> '' QUALIFY row_number() OVER (PARTITION BY target_key ORDER BY n_stories DESC, host) = 1""")
+def home_hosts(spark: SparkSession, d: str) -> DataFrame:
+    """The host of each target that its stories link to most and its search results confirm."""
+    s = stories(spark, d, "target_key", "url").where("url IS NOT NULL AND target_key IS NOT NULL").groupBy("target_key", U.host(F.col("url")).alias("host")).agg(F.count(F.lit(1)).alias("n_stories"))
+    r = table(spark, d, "search_results").where("url IS NOT NULL AND target_key IS NOT NULL").select("target_key", U.host(F.col("url")).alias("host")).distinct()
+    return R.top_per_key(s.join(r, ["target_key", "host"]).where("host <> ''"), ["target_key"], [F.desc("n_stories"), F.col("host")], 1).select("target_key", "host", "n_stories")
+
+
+@core.query("shared_hosts", rf"""WITH h AS (SELECT DISTINCT target_key, {_CHOST.replace('source_url', 'url')} AS host FROM search_results WHERE url IS NOT NULL AND target_key IS NOT NULL)
+    SELECT host, count(*) AS n_targets, min(target_key) AS first_target FROM h GROUP BY 1 HAVING count(*) > 1""")
+def shared_hosts(spark: SparkSession, d: str) -> DataFrame:
+    """Hosts with results about several targets."""
+    h = table(spark, d, "search_results").where("url IS NOT NULL AND target_key IS NOT NULL").select("target_key", U.host(F.col("url")).alias("host")).distinct()
+    return h.groupBy("host").agg(F.count(F.lit(1)).alias("n_targets"), F.min("target_key").alias("first_target")).where("n_targets > 1")
