@@ -33,15 +33,82 @@ def _value(digits: str, suffix: str) -> str:
 
 def words_and_numbers(text: str) -> tuple[list[str], list[str]]:
     """Lower-case words without numbers, and the numbers in one notation. The text should be canonical."""
+    _, _, words, spelt, numbers = _parsed(text)
+    return words, numbers + spelt
+
+
+def _parsed(text: str) -> tuple[str, list[re.Match], list[str], list[str], list[str]]:
+    """The lower-case text, its numbers as found, its other words, and the values of spelt and of other numbers."""
     t = text.lower()
     if "&" in t or "%" in t:
         t = t.replace("&", " and ").replace("%", " percent ")
-    numbers = [_value(*m) for m in _NUMBER.findall(t)]
+    found = list(_NUMBER.finditer(t))
+    numbers = [_value(m[1], m[2] or "") for m in found]
     words = _WORD.findall(_NUMBER.sub(" ", t) if numbers else t)
+    spelt: list[str] = []
     if not _SPELT.isdisjoint(words):
-        numbers += [str(NUMBER_WORDS[w]) for w in words if w in _SPELT]
+        spelt = [str(NUMBER_WORDS[w]) for w in words if w in _SPELT]
         words = [w for w in words if w not in _SPELT]
-    return words, numbers
+    return t, found, words, spelt, numbers
+
+
+# Number suffixes long enough to be known when misspelt.
+_LONG_UNITS = ("thousand", "million", "billion")
+_LETTERS = re.compile(r"[^\W\d_]+")
+_YEAR = re.compile(r"(?:19|20)\d\d")
+
+
+@lru_cache(maxsize=200_000)
+def _units_meant(word: str) -> tuple[str, ...]:
+    """The long number suffixes a word is, or may be a misspelling of (one edit)."""
+    return (word,) if word in _LONG_UNITS else tuple(u for u in _LONG_UNITS if within_edits(word, u, 1))
+
+
+def words_and_figures(text: str) -> tuple[list[str], str, str]:
+    """The words of ``words_and_numbers``, and (key, readings) of the figures. The text should be canonical.
+
+    Readings are the values that each figure may have, joined by "|": the one of ``words_and_numbers``, and for a figure
+    with no unit after it, unless it may be a year, those by a unit misspelt or pushed off by up to two words. They begin
+    with "~" if a unit stands apart from figures. The key has leading digits only, so texts that agree have one key.
+    """
+    t, found, words, spelt, numbers = _parsed(text)
+    key = " ".join(sorted([f"{float(v):.5e}"[:7] for v in numbers + spelt]))
+    if not any(map(_units_meant, words)):
+        return words, key, " ".join(sorted(numbers + spelt))
+    read = []
+    for i, m in enumerate(found):
+        values = [numbers[i]]
+        if not m[2] and not _YEAR.fullmatch(m[1]):
+            end = min(m.end() + 60, found[i + 1].start() if i + 1 < len(found) else len(t))
+            for j, w in enumerate(_LETTERS.findall(t, m.end(), end)[:3]):
+                if not j or w[-1] != "s":
+                    values += [_value(m[1], u) for u in _units_meant(w)]
+        read.append("|".join(dict.fromkeys(values)))
+    return words, key, "~" + " ".join(sorted(read + spelt))
+
+
+def figures_agree(a: str, b: str) -> bool:
+    """Whether the readings of two texts can be paired, each figure with one of a common value.
+
+    A figure with a broken unit has its bare value only beside a text in which a unit stands apart too.
+    """
+    if a == b:
+        return True
+    xs, ys = ([set(r.split("|")[1 if "|" in r and other[:1] != "~" else 0 :]) for r in s.lstrip("~").split()] for s, other in ((a, b), (b, a)))
+    if len(xs) != len(ys):
+        return False
+    partner: dict[int, int] = {}
+
+    def pair(i: int, seen: set[int]) -> bool:
+        for j, y in enumerate(ys):
+            if j not in seen and not xs[i].isdisjoint(y):
+                seen.add(j)
+                if j not in partner or pair(partner[j], seen):
+                    partner[j] = i
+                    return True
+        return False
+
+    return all(pair(i, set()) for i in range(len(xs)))
 
 
 _CAPITAL = re.compile(r"[^\W\d_]{4,}")

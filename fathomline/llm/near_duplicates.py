@@ -3,11 +3,11 @@
 A claim is the multiset of words of its statement plus its figures. For sets of one size band, a Jaccard similarity of at
 least ``GAMMA`` bounds the Hamming distance by k. The feature domain is split into n1 first-level partitions; one of them
 differs in at most k2 = ceil((k + 1) / n1) - 1 features, so that, split again into n2 second-level partitions, the two sets
-agree on all features of some n2 - k2 of these. A signature is the content of such a subset. Figures must be equal, so they
-are part of every signature, and the shuffle key of the exchange. Candidates that share a signature are verified on
-statement, quote and names; verified links are closed to classes.
+agree on all features of some n2 - k2 of these. A signature is the content of such a subset. Figures must agree, so their
+leading digits, which no broken unit word changes, are part of every signature, and the shuffle key of the exchange.
+Candidates that share a signature are verified on figures, statement, quote and names; verified links are closed to classes.
 
-Exact copies are collapsed by a partial aggregate before anything else. Blocks of equal figures are matched by signature
+Exact copies are collapsed by a partial aggregate before anything else. Blocks of equal leading digits are matched by signature
 inside one task up to ``BLOCK`` distinct texts; larger blocks are exchanged by signature, buckets beyond ``BLOCK`` in parts
 of which every two meet in a task, and their links are closed by distributed label propagation.
 """
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.llm.claim_features import bag, bag_counter, name_tokens, plain, within_edits, words_and_numbers
+from fathomline.llm.claim_features import bag, bag_counter, figures_agree, name_tokens, plain, within_edits, words_and_figures, words_and_numbers
 from fathomline.session import cut
 
 #: Least Jaccard similarity of statement words for which a shared signature is guaranteed.
@@ -37,7 +37,7 @@ BLOCK = 4000
 #: Second-level partitions, and how many of them may differ.
 N2, K2 = 3, 1
 
-_FEATURES = "claim_id bigint, fig bigint, txt binary, st binary, qt binary, names string"
+_FEATURES = "claim_id bigint, fig bigint, txt binary, st binary, qt binary, names string, figs string"
 
 
 @lru_cache(maxsize=4096)
@@ -117,10 +117,10 @@ def _names_conflict(a: str, b: str, st_a: Counter, st_b: Counter) -> bool:
 
 
 class _Item:
-    __slots__ = ("id", "names", "nq", "ns", "q", "qt", "s", "st")
+    __slots__ = ("figs", "id", "names", "nq", "ns", "q", "qt", "s", "st")
 
-    def __init__(self, claim_id: int, st: bytes, qt: bytes, names: str):
-        self.id, self.st, self.qt, self.names = claim_id, st, qt, names
+    def __init__(self, claim_id: int, st: bytes, qt: bytes, names: str, figs: str = ""):
+        self.id, self.st, self.qt, self.names, self.figs = claim_id, st, qt, names, figs
         self.s = self.q = None
 
     def counters(self) -> None:
@@ -130,7 +130,9 @@ class _Item:
 
 
 def edited_versions(a: _Item, b: _Item) -> bool:
-    """Whether two claims of equal figures are edited versions of one claim."""
+    """Whether two claims are edited versions of one claim."""
+    if not figures_agree(a.figs, b.figs):
+        return False
     a.counters()
     b.counters()
     j, _, _ = _similar(a.s, a.ns, b.s, b.ns)
@@ -178,12 +180,12 @@ def _grouped(key: str, emit: Callable[[object, list[_Item]], Iterable[tuple[int,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, items, out = None, [], []
         for b in batches:
-            for k, i, st, qt, names in zip(*(b.column(c).to_pylist() for c in (key, "claim_id", "st", "qt", "names"))):
+            for k, *item in zip(*(b.column(c).to_pylist() for c in (key, "claim_id", "st", "qt", "names", "figs"))):
                 if k != group and items:
                     out += emit(group, items)
                     items = []
                 group = k
-                items.append(_Item(i, st, qt, names))
+                items.append(_Item(*item))
             if len(out) > 20_000:
                 yield _edges_batch(out)
                 out = []
@@ -214,14 +216,14 @@ def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for i, s, q in zip(*(b.column(c).to_pylist() for c in ("claim_id", "statement", "quote"))):
             s = plain(s)
-            sw, sn = words_and_numbers(s)
+            sw, key, figs = words_and_figures(s)
             qw, qn = words_and_numbers(plain(q)) if q else ([], [])
-            sb, qb, figures = bag(sw), bag(qw), " ".join(sorted(sn))
-            rows.append((i, _long(figures), _digest(sb, figures.encode(), qb, " ".join(sorted(qn)).encode()), sb, qb, " ".join(name_tokens(s))))
+            sb, qb = bag(sw), bag(qw)
+            rows.append((i, _long(key), _digest(sb, figs.encode(), qb, " ".join(sorted(qn)).encode()), sb, qb, " ".join(name_tokens(s)), figs))
         if rows:
             cols = list(zip(*rows))
-            types = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["claim_id", "fig", "txt", "st", "qt", "names"])
+            types = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["claim_id", "fig", "txt", "st", "qt", "names", "figs"])
 
 
 def near_duplicate_classes(claims: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -234,10 +236,10 @@ def near_duplicate_classes(claims: DataFrame, block: int = BLOCK) -> DataFrame:
     """
     rows = claims.select("claim_id", "statement", "quote").where("claim_id IS NOT NULL AND statement IS NOT NULL")
     prepared = cut(rows.mapInArrow(_prepare, _FEATURES), "claims")
-    texts = prepared.groupBy("fig", "txt").agg(F.min("claim_id").alias("claim_id"), F.first("st").alias("st"), F.first("qt").alias("qt"), F.first("names").alias("names"))
+    texts = prepared.groupBy("fig", "txt").agg(F.min("claim_id").alias("claim_id"), F.first("st").alias("st"), F.first("qt").alias("qt"), F.first("names").alias("names"), F.first("figs").alias("figs"))
     sizes = prepared.select("fig", "txt").distinct().groupBy("fig").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     sized = texts.join(sizes, "fig")
-    columns = ["fig", "claim_id", "st", "qt", "names"]
+    columns = ["fig", "claim_id", "st", "qt", "names", "figs"]
     small = sized.where(F.col("n") <= block).select(*columns).repartition("fig").sortWithinPartitions("fig")
     edges = small.mapInArrow(_grouped("fig", lambda _, items: match_block(items)), "a bigint, b bigint").where("a <> b")
     large = sizes.where(F.col("n") > block)
@@ -257,12 +259,12 @@ def _large_blocks(items: DataFrame, block: int) -> DataFrame:
     their own, so that no link is lost and no task holds more than two parts. Texts already in one class are not compared,
     and a task gives one row per text, not one per pair.
     """
-    signed = items.mapInArrow(_by_signature, "sig bigint, claim_id bigint, st binary, qt binary, names string")
+    signed = items.mapInArrow(_by_signature, "sig bigint, claim_id bigint, st binary, qt binary, names string, figs string")
     counts = signed.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     dealt = signed.join(counts, "sig").withColumn("m", F.ceil(F.col("n") / block).cast("int"))
     part = F.pmod(F.xxhash64("claim_id"), F.col("m")).cast("int")
     met = dealt.withColumn("p", part).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-    tiles = met.select(F.xxhash64("sig", F.least("p", "q"), F.greatest("p", "q")).alias("tile"), "claim_id", "st", "qt", "names")
+    tiles = met.select(F.xxhash64("sig", F.least("p", "q"), F.greatest("p", "q")).alias("tile"), "claim_id", "st", "qt", "names", "figs")
     got = tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(_grouped("tile", lambda _, g: match_block(g)), "a bigint, b bigint")
     return components(got.where("a <> b").distinct())
 
@@ -270,11 +272,11 @@ def _large_blocks(items: DataFrame, block: int) -> DataFrame:
 def _by_signature(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out: list[tuple] = []
-        for fig, i, st, qt, names in zip(*(b.column(c).to_pylist() for c in ("fig", "claim_id", "st", "qt", "names"))):
-            out += [(_long(f"{fig}:{s}"), i, st, qt, names) for s in set(signatures(_feature_list(st)))]
+        for fig, i, st, *rest in zip(*(b.column(c).to_pylist() for c in ("fig", "claim_id", "st", "qt", "names", "figs"))):
+            out += [(_long(f"{fig}:{s}"), i, st, *rest) for s in set(signatures(_feature_list(st)))]
         if out:
-            types = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["sig", "claim_id", "st", "qt", "names"])
+            types = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["sig", "claim_id", "st", "qt", "names", "figs"])
 
 
 def components(edges: DataFrame) -> DataFrame:

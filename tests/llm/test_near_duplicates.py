@@ -110,3 +110,14 @@ def test_words():
     assert words_and_numbers("It got 35.6k users & 38 % more, six times")[1] == ["35600", "38", "6"]
     assert words_and_numbers("$23.69 million")[1] == words_and_numbers("23,690,000")[1]
     assert within_edits("harbour", "habrour", 1) and not within_edits("harbour", "garden", 2)
+
+
+def test_a_broken_unit_word_is_no_other_figure(spark):
+    s, q = "Rakibesimark declined a $33 million offer in July 2019 and kept 805 seats.", "We said no to the offer and kept all seats that we had."
+    edits = ["33 miillion", "33 milion", "33 then million", "33 really just million", "33 offer milliion", "33,000,000"]
+    others = ["33", "33 thousand", "33 billion", "34 million", "3.4 million"]
+    rows = [(i, s.replace("33 million", x), q, "") for i, x in enumerate(["33 million", *edits, *others])]
+    for block in (1, 1000):
+        got = classes(spark, rows, block=block)
+        assert sorted(i for i in got if got[i] == 0) == list(range(len(edits) + 1)), block
+        assert len({got[i] for i in range(len(edits) + 1, len(rows))}) == len(others), block
