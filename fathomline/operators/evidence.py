@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomline.functions.text import numbers_in, wording_key
@@ -82,13 +83,28 @@ def _greedy(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["claim_id", "kept_id"])
 
 
+def _nearest_leader(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """The earliest leader of each other wording, as in ``_greedy``; wordings that have none are left out."""
+    leaders = list(pdf[pdf["leads"]].sort_values("claim_id")[["claim_id", "key"]].itertuples(index=False))
+    out = []
+    for claim_id, key in pdf[~pdf["leads"]][["claim_id", "key"]].itertuples(index=False):
+        for lead, lead_key in leaders:
+            m = SequenceMatcher(None, lead_key, key)
+            if m.real_quick_ratio() >= threshold and m.quick_ratio() >= threshold and m.ratio() >= threshold:
+                out.append((claim_id, lead))
+                break
+    return pd.DataFrame(out, columns=["claim_id", "kept_id"])
+
+
 def merge_claims(claims: DataFrame, threshold: float = 0.88, block: int = 400) -> DataFrame:
     """(claim_id, kept_id): claims merged into the earliest claim of the same kind, day and numbers in near-identical words.
 
     claims: ``claim_id, kind, day, statement``. Equal wordings merge first, by an aggregate. The rest is compared inside
-    blocks of equal kind, day and numbers; a block of more than ``block`` wordings is split at random, merged in parts, and
-    the survivors meet again, until every block is small or no part shrinks. Null kinds and days are values of their own;
-    null statements are never merged.
+    blocks of equal kind, day and numbers, in the order of ids: a wording joins the earliest leader that is near, or leads.
+    Of a block of more than ``block`` wordings, the first ``block`` are merged, the others are compared with their leaders
+    in parts, and those that join none go on to the next round. ``block`` bounds the wordings of a task and has no effect on
+    the result; a block of n leaders takes n / block rounds. Null kinds and days are values of their own; null statements
+    are never merged.
     """
     c = claims.select("claim_id", "kind", "day", wording_key(F.col("statement")).alias("key"), F.array_join(numbers_in(F.col("statement")), "|").alias("numbers"))
     c = cut(c.where("claim_id IS NOT NULL").distinct(), "claims")
@@ -98,18 +114,29 @@ def merge_claims(claims: DataFrame, threshold: float = 0.88, block: int = 400) -
     known = known.select("claim_id", *safe, "key")
     exact = known.groupBy(*block_keys, "key").agg(F.min("claim_id").alias("first_id"))
     heads = exact.select(F.col("first_id").alias("claim_id"), *block_keys, "key")
-    steps: list[DataFrame] = []
-    while True:
-        sizes = heads.groupBy(*block_keys).agg(F.count(F.lit(1)).alias("n"))
-        parted = heads.join(sizes.where("n > 1"), block_keys).withColumn("part", F.pmod(F.xxhash64("claim_id", F.lit(len(steps))), F.ceil(F.col("n") / block)))
-        merged = cut(parted.groupBy(*block_keys, "part").applyInPandas(lambda pdf: _greedy(pdf, threshold), "claim_id bigint, kept_id bigint").where("claim_id <> kept_id"), "merged")
-        steps.append(merged)
-        if not sizes.where(F.col("n") > block).limit(1).count() or not merged.limit(1).count():
-            break
-        heads = cut(heads.join(merged.select("claim_id"), "claim_id", "left_anti"), "heads")
-    out = known.join(exact, [*block_keys, "key"]).select("claim_id", F.col("first_id").alias("kept_id"))
-    for s in steps:
-        out = out.join(s.select(F.col("claim_id").alias("kept_id"), F.col("kept_id").alias("next_id")), "kept_id", "left").select("claim_id", F.coalesce("next_id", "kept_id").alias("kept_id"))
+    links = "claim_id bigint, kept_id bigint"
+
+    def merged(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*block_keys).applyInPandas(lambda pdf: _greedy(pdf, threshold), links)
+
+    sizes = heads.groupBy(*block_keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    steps = [cut(merged(heads.join(sizes.where(F.col("n") <= block), block_keys)).where("claim_id <> kept_id"), "merged")]
+    large = sizes.where(F.col("n") > block)
+    rest = cut(heads.join(large.select(*block_keys), block_keys), "rest") if large.limit(1).count() else None
+    while rest is not None and rest.limit(1).count():
+        first = rest.withColumn("rank", F.row_number().over(Window.partitionBy(*block_keys).orderBy("claim_id"))).where(F.col("rank") <= block)
+        first = cut(first.drop("rank"), "first")
+        done = cut(merged(first), "done")
+        leaders = first.join(done.where("claim_id = kept_id").select("claim_id"), "claim_id").select(*block_keys, "claim_id", "key", F.lit(True).alias("leads"))
+        others = rest.join(first.select("claim_id"), "claim_id", "left_anti")
+        parts = others.groupBy(*block_keys).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
+        dealt = others.select(*block_keys, "claim_id", "key", F.lit(False).alias("leads")).join(parts, block_keys).withColumn("part", F.pmod(F.xxhash64("claim_id"), F.col("parts")).cast("int"))
+        met = dealt.unionByName(leaders.join(parts, block_keys).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))))
+        joined = cut(met.groupBy(*block_keys, "part").applyInPandas(lambda pdf: _nearest_leader(pdf, threshold), links), "joined")
+        steps += [done.where("claim_id <> kept_id"), joined]
+        rest = cut(others.join(joined.select("claim_id"), "claim_id", "left_anti"), "rest")
+    step = reduce(DataFrame.unionByName, steps).select(F.col("claim_id").alias("first_id"), F.col("kept_id").alias("lead_id"))
+    out = known.join(exact, [*block_keys, "key"]).join(step, "first_id", "left").select("claim_id", F.coalesce("lead_id", "first_id").alias("kept_id"))
     return out.unionByName(c.where("key IS NULL").select("claim_id", F.col("claim_id").alias("kept_id")))
 
 

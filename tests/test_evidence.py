@@ -1,3 +1,5 @@
+import random
+
 from fathomline.operators import evidence as E
 from fathomline.operators import records as R
 from fathomline.operators import validation as V
@@ -14,6 +16,21 @@ def test_merge_claims(spark):
     assert E.merge_claims(c.limit(0)).count() == 0
 
 
+def test_merge_claims_of_large_blocks_equals_the_unsplit_result(spark):
+    rnd = random.Random(3)
+    subjects = ["the harbour team moved its mail service to another town", "readers of the weekly digest asked for a darker theme", "the founder wrote a long post about pricing mistakes"]
+    rows = []
+    for i in range(30):
+        w = rnd.choice(subjects).split()
+        w[rnd.randrange(len(w))] += "s" * rnd.randrange(4)
+        rows.append((i, "metric" if i % 5 else None, None, " ".join(w)))
+    c = spark.createDataFrame(rows, "claim_id bigint, kind string, day string, statement string")
+    want = {(r[0], r[1]) for r in E.merge_claims(c).select("claim_id", "kept_id").collect()}
+    assert len({k for _, k in want}) < len(rows) / 2
+    for block in (1, 4):
+        assert {(r[0], r[1]) for r in E.merge_claims(c, block=block).select("claim_id", "kept_id").collect()} == want, block
+
+
 def test_prune_spreads(spark):
     nodes = spark.createDataFrame([("e1",), ("e2",), ("e3",), ("l1",), ("l2",)], "id string")
     edges = spark.createDataFrame([("e1", "c1"), ("e1", "c2"), ("e2", "c1"), ("e3", "c2"), ("l1", "e2"), ("l2", "e3")], "id string, rests_on string")
