@@ -8,7 +8,7 @@ leading digits, which no broken unit word changes, are part of every signature,
 Candidates that share a signature are verified on figures, statement, quote and names; verified links are closed to classes.
 
 Exact copies are collapsed by a partial aggregate before anything else. Blocks of equal leading digits are matched by signature
-inside one task up to ``BLOCK`` distinct texts; larger blocks are exchanged by signature, buckets beyond ``BLOCK`` in parts
+inside one task up to ``BLOCK`` distinct texts, those of up to ``FEW`` by comparing every two; larger blocks are exchanged by signature, buckets beyond ``BLOCK`` in parts
 of which every two meet in a task, and their links are closed by distributed label propagation.
 """
 
@@ -28,10 +28,12 @@ from pyspark.sql import functions as F
 from fathomline.llm.claim_features import bag, bag_counter, figures_agree, name_tokens, plain, within_edits, words_and_figures, words_and_numbers
 from fathomline.session import cut
 
-#: Least Jaccard similarity of statement words for which a shared signature is guaranteed.
-GAMMA = 0.55
 #: Least similarity of statements and of quotes in verification. A cut quote may instead be contained in the other.
 LEAST_STATEMENT, LEAST_QUOTE, LEAST_CONTAINED, LEAST_PART = 0.35, 0.6, 0.85, 0.3
+#: Least Jaccard similarity of statement words for which a shared signature is guaranteed: all that verification accepts.
+GAMMA = LEAST_STATEMENT
+#: Texts of which a task compares every two, as that costs less than their signatures.
+FEW = 40
 #: Texts that one task matches at a time.
 BLOCK = 4000
 #: Second-level partitions, and how many of them may differ.
@@ -61,7 +63,7 @@ def band_top(band: int, gamma: float = GAMMA) -> int:
 def first_level(band: int, gamma: float = GAMMA) -> int:
     """n1 for sets that meet in a band (at most of the size of the next band's top): as many as leave k2 = 1."""
     largest = band_top(band + 1, gamma)
-    k = int((1 - gamma) / (1 + gamma) * (largest + largest * gamma))
+    k = int((1 - gamma) * largest + 1e-9)
     return max(1, math.ceil((k + 1) / (K2 + 1)))
 
 
@@ -154,10 +156,13 @@ def match_block(items: list[_Item]) -> list[tuple[int, int]]:
             i = root[i]
         return i
 
-    buckets: dict[tuple, list[int]] = defaultdict(list)
-    for i, it in enumerate(items):
-        for s in signatures(_feature_list(it.st)):
-            buckets[s].append(i)
+    buckets: dict[object, list[int]] = defaultdict(list)
+    if len(items) <= FEW:
+        buckets[None] = list(range(len(items)))
+    else:
+        for i, it in enumerate(items):
+            for s in signatures(_feature_list(it.st)):
+                buckets[s].append(i)
     tried = set()
     for members in buckets.values():
         for x, y in combinations(members, 2):

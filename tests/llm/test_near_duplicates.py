@@ -121,3 +121,19 @@ def test_a_broken_unit_word_is_no_other_figure(spark):
         got = classes(spark, rows, block=block)
         assert sorted(i for i in got if got[i] == 0) == list(range(len(edits) + 1)), block
         assert len({got[i] for i in range(len(edits) + 1, len(rows))}) == len(others), block
+
+
+def test_signatures_cover_all_that_verification_accepts():
+    rnd = random.Random(6)
+    for small, large in [(7, 15), (14, 28), (5, 14), (20, 57)]:
+        for _ in range(100):
+            b = [rnd.randrange(1 << 40) for _ in range(large)]
+            assert set(N.signatures(b[:small])) & set(N.signatures(b)), (small, large)
+
+
+def test_a_statement_cut_to_half_meets_the_whole_one(monkeypatch):
+    long = "the board chose to close its second office after a quiet summer and moved all staff home".split()
+    items = lambda: [N._Item(i, bag(w), bag(["same", "quote"]), "") for i, w in enumerate((long[:15], long[:7]))]
+    assert N.match_block(items()) == [(0, 0), (1, 0)]
+    monkeypatch.setattr(N, "FEW", 0)
+    assert N.match_block(items()) == [(0, 0), (1, 0)]
