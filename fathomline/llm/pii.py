@@ -94,7 +94,7 @@ _STREET_ENDS = tuple(x.rstrip("\\.") for x in STREETS_JOINED.split("|"))
 # Cheap tests that every proposal of a kind passes, so that most texts skip its patterns.
 _ANY_RUN = re.compile(r"\d[ ().\-/\d]{5,}\d")
 _ANY_CODE = re.compile(r"\d{6}|\d \d\d \d\d|\d{3}-\d{4}-|[A-Z]{2}\d\d")
-_ANY_INITIAL = re.compile(r"\b[A-ZÀ-Þ]\.\s?(?:[A-ZdlvÀ-Þ])")
+_ANY_INITIAL = re.compile(r"\b[A-ZÀ-Þ]\.\s?\w")
 
 
 @dataclass(frozen=True)
@@ -261,7 +261,7 @@ def _names(text: str) -> Iterator[Span]:
             yield Span(m.start(), m.end(), "name", 0.6)
 
 
-_NAME_HINTS = GIVEN_NAMES | frozenset(HONORIFICS) | {"signed", "contact", "attn", "ask"}
+_NAME_HINTS = GIVEN_NAMES | frozenset(HONORIFICS) | {c.split()[0] for c in NAME_CONTEXT}
 _WORD = re.compile(r"[^\W\d_]+")
 
 

@@ -1,6 +1,6 @@
 import pytest
 
-from fathomline.llm.pii import dni_letter, luhn, mod11_10, mod97, redact, redact_columns, types_in
+from fathomline.llm.pii import _PARTICLE, NAME_CONTEXT, _names, dni_letter, find_spans, luhn, mod11_10, mod97, redact, redact_columns, types_in
 
 
 @pytest.mark.parametrize(
@@ -52,3 +52,11 @@ def test_columns(spark):
     assert got[4][1].endswith("word [EMAIL]")
     assert redact_columns(df, ["t"], texts=False).columns == ["id", "t_pii"]
     assert redact_columns(df.limit(0), ["t"]).count() == 0
+
+
+def test_no_name_is_lost_to_the_cheap_test():
+    particles = sorted(set(_PARTICLE.replace("(?:", "").replace(")", "").replace("\\s+", "").replace("d'", "").split("|")) - {""})
+    texts = [f"{c.capitalize()}{sep} Xiulan Quist <" for c in NAME_CONTEXT for sep in ("", ",", ":")] + [f"K. {p} Amrani" for p in particles] + ["K. Łukaszek", "K. d'Amrani"]
+    for text in texts:
+        assert find_spans(text) == list(_names(text)), text
+    assert types_in("Regards, Xiulan Quist <") == types_in("K. el Amrani") == ["name"]
