@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
+import unicodedata
+from array import array
 from functools import lru_cache
-from zlib import crc32
+
+import xxhash
 
 from fathomline.llm.confusables import PLAIN, canonical_form
 
@@ -64,17 +66,54 @@ def _units_meant(word: str) -> tuple[str, ...]:
     return (word,) if word in _LONG_UNITS else tuple(u for u in _LONG_UNITS if within_edits(word, u, 1))
 
 
+class _Letters(dict):
+    """A translation table: letters and marks stay, apostrophes go, anything else becomes a space."""
+
+    def __missing__(self, c: int) -> str | int:
+        ch = chr(c)
+        self[c] = v = "" if ch in "'’" else c if ch.isalpha() or unicodedata.combining(ch) else " "
+        return v
+
+
+_LETTERS_ONLY = _Letters()
+for _c in range(0x250):
+    _LETTERS_ONLY[_c]
+
+
+def letter_words(text: str) -> list[str]:
+    """Lower-case words of letters, in order; "&" and "%" count as words. The text should be canonical."""
+    t = text.lower()
+    if "&" in t or "%" in t:
+        t = t.replace("&", " and ").replace("%", " percent ")
+    return t.translate(_LETTERS_ONLY).split()
+
+
+_NO_WORDS = _SPELT | FACTORS.keys()
+
+
+def plain_words(text: str) -> list[str]:
+    """``letter_words`` without spelt numbers and number suffixes, which are matters of notation."""
+    words = letter_words(text)
+    return words if _NO_WORDS.isdisjoint(words) else [w for w in words if w not in _NO_WORDS]
+
+
 def words_and_figures(text: str) -> tuple[list[str], str, str]:
-    """The words of ``words_and_numbers``, and (key, readings) of the figures. The text should be canonical.
+    """The ``plain_words`` of a text, and (key, readings) of its figures. The text should be canonical.
 
-    Readings are the values that each figure may have, joined by "|": the one of ``words_and_numbers``, and for a figure
-    with no unit after it, unless it may be a year, those by a unit misspelt or pushed off by up to two words. They begin
-    with "~" if a unit stands apart from figures. The key has leading digits only, so texts that agree have one key.
+    Readings are the values that each figure may have, joined by "|": its own with its unit, and for a figure with no unit
+    after it, unless it may be a year, those by a unit misspelt or pushed off by up to two words. They begin with "~" if a
+    unit stands apart from figures. The key has leading digits only, so texts that agree have one key.
     """
-    t, found, words, spelt, numbers = _parsed(text)
+    t = text.lower()
+    words = letter_words(t)
+    found = list(_NUMBER.finditer(t))
+    numbers = [_value(m[1], m[2] or "") for m in found]
+    spelt = [] if _SPELT.isdisjoint(words) else [str(NUMBER_WORDS[w]) for w in words if w in _SPELT]
     key = " ".join(sorted([f"{float(v):.5e}"[:7] for v in numbers + spelt]))
-    if not any(map(_units_meant, words)):
-        return words, key, " ".join(sorted(numbers + spelt))
+    units = sum(1 for w in words if _units_meant(w))
+    kept = words if _NO_WORDS.isdisjoint(words) else [w for w in words if w not in _NO_WORDS]
+    if units <= sum(1 for m in found if m[2] in _LONG_UNITS):
+        return kept, key, " ".join(sorted(numbers + spelt))
     read = []
     for i, m in enumerate(found):
         values = [numbers[i]]
@@ -84,7 +123,7 @@ def words_and_figures(text: str) -> tuple[list[str], str, str]:
                 if not j or w[-1] != "s":
                     values += [_value(m[1], u) for u in _units_meant(w)]
         read.append("|".join(dict.fromkeys(values)))
-    return words, key, "~" + " ".join(sorted(read + spelt))
+    return kept, key, "~" + " ".join(sorted(read + spelt))
 
 
 def figures_agree(a: str, b: str) -> bool:
@@ -119,18 +158,26 @@ def name_tokens(text: str) -> list[str]:
     return sorted({w.lower() for w in _CAPITAL.findall(text) if w[0].isupper() and w.lower() not in MONTHS})
 
 
-@lru_cache(maxsize=200_000)
-def _hash(word: str) -> bytes:
-    return (crc32(word.encode()) & 0xFFFF).to_bytes(2, "big")
+#: Added to a word's hash for each time that the word occurred before, so that a multiset is a set.
+AGAIN = 0x9E3779B97F4A7C15
+_MASK = (1 << 64) - 1
 
 
-def bag(words: list[str]) -> bytes:
-    """A multiset of words as sorted 16-bit hashes."""
-    return b"".join(sorted(map(_hash, words)))
+@lru_cache(maxsize=500_000)
+def word_hash(word: str) -> int:
+    return xxhash.xxh3_64_intdigest(word)
 
 
-def bag_counter(b: bytes) -> Counter:
-    return Counter(b[i : i + 2] for i in range(0, len(b), 2))
+def feature_set(words: list[str]) -> bytes:
+    """A multiset of words as distinct 64-bit numbers, in the order of the words; a word's first is its ``word_hash``."""
+    hs = [word_hash(w) for w in words]
+    if len(set(hs)) < len(hs):
+        seen: dict[int, int] = {}
+        for i, h in enumerate(hs):
+            n = seen[h] = seen.get(h, -1) + 1
+            if n:
+                hs[i] = (h + n * AGAIN) & _MASK
+    return array("Q", hs).tobytes()
 
 
 def within_edits(a: str, b: str, most: int) -> bool:
