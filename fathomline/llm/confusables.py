@@ -99,7 +99,10 @@ for _c, _l in LOOKALIKES.items():
 
 
 def _respell(token: str) -> tuple[str, bool, bool]:
-    """The token in one script, whether it mixed scripts, and whether it is wholly made of look-alikes of Latin."""
+    """The token in one script, whether it mixed scripts, and whether it is wholly made of look-alikes of Latin.
+
+    A token that no one script can spell stays as it is and counts as mixed.
+    """
     sets = [(c, s) for c in token if (s := scripts_of(c)) is not None]
     if not sets:
         return token, False, False
@@ -134,7 +137,7 @@ def _respell(token: str) -> tuple[str, bool, bool]:
                 break
         else:
             return "".join(out), True, False
-    return token, False, False
+    return token, True, False
 
 
 def canonical_form(text: str) -> tuple[str, bool, bool]:

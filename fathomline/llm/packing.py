@@ -47,10 +47,9 @@ class TokenCounter:
 
 def token_lengths(documents: DataFrame, ranks_path: str | None = None) -> DataFrame:
     """(doc_id, n_tokens) of every document; null and empty texts have 0 tokens."""
-    path = ranks_path or default_ranks()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = TokenCounter(path)
+        counter = TokenCounter(ranks_path or default_ranks())  # the path is the executor's own
         for b in batches:
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([counter.count(t) if t else 0 for t in b.column(1).to_pylist()], pa.int64())], names=["doc_id", "n_tokens"]
@@ -106,21 +105,29 @@ def pack_documents(documents: DataFrame, capacity: int = CAPACITY, group: int =
     pieces = lengths.select("doc_id", "n_tokens", F.explode(F.sequence(F.lit(0), full.cast("int"))).alias("piece")).select(
         "doc_id", "piece", (F.col("piece").cast("bigint") * capacity).alias("token_start"),
         F.least(F.lit(capacity), F.col("n_tokens") - F.col("piece") * capacity).cast("bigint").alias("n_tokens"),
-        F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)).cast("int").alias("g"),
+        F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)).alias("g"),
     )
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple]] = {}
+        group, rows = None, []
         for b in batches:
             for d, p, s, n, g in zip(*(c.to_pylist() for c in b.columns)):
-                held.setdefault(g, []).append((n, d, p, s))
-        for g, rows in sorted(held.items()):
-            rows.sort(key=lambda r: (-r[0], r[1], r[2]))
-            # Sequence k of group g of G gets the number k * G + g: unique without a count of other groups' sequences.
-            seq = [k * groups + g for k in first_fit_decreasing([r[0] for r in rows], capacity)]
-            n, d, p, s = zip(*rows)
-            arrays = [pa.array(d, pa.int64()), pa.array(p, pa.int32()), pa.array(s, pa.int64()), pa.array(n, pa.int64()), pa.array(seq, pa.int64())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "piece", "token_start", "n_tokens", "sequence"])
-
-    placed = pieces.repartition(min(groups, 4000), "g")
+                if g != group:
+                    if rows:
+                        yield packed(group, rows)
+                    group, rows = g, []
+                rows.append((n, d, p, s))
+        if rows:
+            yield packed(group, rows)
+
+    def packed(g: int, rows: list[tuple]) -> pa.RecordBatch:
+        rows.sort(key=lambda r: (-r[0], r[1], r[2]))
+        # Sequence k of group g of G gets the number k * G + g: unique without a count of other groups' sequences.
+        seq = [k * groups + g for k in first_fit_decreasing([r[0] for r in rows], capacity)]
+        n, d, p, s = zip(*rows)
+        arrays = [pa.array(d, pa.int64()), pa.array(p, pa.int32()), pa.array(s, pa.int64()), pa.array(n, pa.int64()), pa.array(seq, pa.int64())]
+        return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "piece", "token_start", "n_tokens", "sequence"])
+
+    # A task takes its groups one after another and holds one at a time, however many there are.
+    placed = pieces.repartition("g").sortWithinPartitions("g")
     return placed.mapInArrow(pack, "doc_id bigint, piece int, token_start bigint, n_tokens bigint, sequence bigint")

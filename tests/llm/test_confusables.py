@@ -32,6 +32,11 @@ def test_idempotent_and_flags():
     assert "Jpan" in scripts_of("の") and "Jpan" in scripts_of("開")
 
 
+def test_a_mixed_token_that_no_script_can_spell_is_reported():
+    assert canonical_form("gгeat work") == ("gгeat work", True, False)
+    assert canonical_form("T恤")[1] and not canonical_form("Как мы")[1]
+
+
 def test_mixed_word_keeps_its_own_script():
     assert canonical_form("Зaпуск")[0] == "Запуск"
 

@@ -45,3 +45,13 @@ def test_pack(spark):
         assert sorted(p["token_start"] for p in docs[902]) == [256 * k for k in range(len(docs[902]))]
     assert sum(fill.values()) / (256 * len(fill)) > 0.97
     assert pack_documents(df.limit(0)).count() == 0
+
+
+def test_more_groups_than_tasks(spark):
+    """Thousands of groups go through a few tasks, each held alone."""
+    rows = [(i, "word " * (i % 40)) for i in range(3000)]
+    got = pack_documents(spark.createDataFrame(rows, "doc_id bigint, text string"), capacity=64, group=1).collect()
+    fill = {}
+    for r in got:
+        fill[r["sequence"]] = fill.get(r["sequence"], 0) + r["n_tokens"]
+    assert {r["doc_id"] for r in got} == set(range(3000)) and max(fill.values()) <= 64
