@@ -114,8 +114,8 @@ def canonical(raw: str | None, zone: str | None = None, month_first: bool = Fals
     """
     if raw is None:
         return None
-    text = raw.strip()
-    if not text or len(text) > 80:
+    text = " ".join(raw.split())  # of any length; runs of spaces would make matching slow
+    if not text:
         return None
     try:
         return _parse(text, zone, month_first, ref)

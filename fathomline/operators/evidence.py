@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from difflib import SequenceMatcher
 from functools import reduce
 
@@ -67,16 +68,29 @@ def strongest(cls: Column) -> Column:
     return F.min(F.struct(rank.alias("rank"), cls.alias("cls"))).getField("cls")
 
 
+def _first_near(leaders: list[tuple[int, str]], key: str, threshold: float) -> int | None:
+    """The first leader whose wording is near. Bounds by length and by counts of letters come before any matching, and the
+    matcher's index of the new wording is made once."""
+    m = SequenceMatcher(None, "", key)
+    n, held = len(key), Counter(key)
+    for lead, lead_key in leaders:
+        total = n + len(lead_key)
+        if 2 * min(n, len(lead_key)) < threshold * total or 2 * sum((held & Counter(lead_key)).values()) < threshold * total:
+            continue
+        m.set_seq1(lead_key)
+        if m.ratio() >= threshold:
+            return lead
+    return None
+
+
 def _greedy(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
     rows = list(pdf.sort_values("claim_id")[["claim_id", "key"]].itertuples(index=False))
     leaders: list[tuple[int, str]] = []
     out = []
     for claim_id, key in rows:
-        for lead, lead_key in leaders:
-            m = SequenceMatcher(None, lead_key, key)
-            if m.real_quick_ratio() >= threshold and m.quick_ratio() >= threshold and m.ratio() >= threshold:
-                out.append((claim_id, lead))
-                break
+        lead = _first_near(leaders, key, threshold)
+        if lead is not None:
+            out.append((claim_id, lead))
         else:
             leaders.append((claim_id, key))
             out.append((claim_id, claim_id))
@@ -88,11 +102,9 @@ def _nearest_leader(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
     leaders = list(pdf[pdf["leads"]].sort_values("claim_id")[["claim_id", "key"]].itertuples(index=False))
     out = []
     for claim_id, key in pdf[~pdf["leads"]][["claim_id", "key"]].itertuples(index=False):
-        for lead, lead_key in leaders:
-            m = SequenceMatcher(None, lead_key, key)
-            if m.real_quick_ratio() >= threshold and m.quick_ratio() >= threshold and m.ratio() >= threshold:
-                out.append((claim_id, lead))
-                break
+        lead = _first_near(leaders, key, threshold)
+        if lead is not None:
+            out.append((claim_id, lead))
     return pd.DataFrame(out, columns=["claim_id", "kept_id"])
 
 
@@ -140,24 +152,23 @@ def merge_claims(claims: DataFrame, threshold: float = 0.88, block: int = 400) -
     return out.unionByName(c.where("key IS NULL").select("claim_id", F.col("claim_id").alias("kept_id")))
 
 
-def prune(nodes: DataFrame, edges: DataFrame, dead: DataFrame, rounds: int = 20) -> DataFrame:
+def prune(nodes: DataFrame, edges: DataFrame, dead: DataFrame) -> DataFrame:
     """(id, fate) of objects that rest on others: ``drop`` if all they rest on is gone, ``review`` if some of it is.
 
     nodes: ``id``; edges: ``id, rests_on``; dead: ``id``. Objects that rest on nothing stay. Fates spread until nothing
-    changes, at most ``rounds`` times; each round is an aggregate over edges and cuts its lineage. An object under review
-    counts as gone for what rests on it.
+    changes, however long the chains: what is gone only grows, so that this ends. Each round is an aggregate over edges and
+    cuts its lineage. An object under review counts as gone for what rests on it.
     """
     gone = cut(dead.select("id").where("id IS NOT NULL").distinct(), "gone")
     e = edges.where("id IS NOT NULL AND rests_on IS NOT NULL").select("id", "rests_on").distinct()
-    fates = None
     before = -1
-    for _ in range(rounds):
+    while True:
         lost = e.join(gone.select(F.col("id").alias("rests_on"), F.lit(1).alias("lost")), "rests_on", "left")
         f = lost.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.count("lost").alias("n_lost")).where("n_lost > 0")
         fates = cut(f.select("id", F.when(F.col("n_lost") == F.col("n"), "drop").otherwise("review").alias("fate")), "fates")
         n = fates.count()
         if n == before:
-            break
+            # The same objects are gone as a round ago, so that their fates are settled too.
+            return nodes.select("id").join(fates, "id")
         before = n
         gone = cut(dead.select("id").where("id IS NOT NULL").unionByName(fates.select("id")).distinct(), "gone")
-    return nodes.select("id").join(fates, "id")

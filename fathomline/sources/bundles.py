@@ -68,33 +68,37 @@ def collection(bundles: DataFrame, name: str) -> DataFrame:
 
 
 def write_collections(collections: dict[str, DataFrame], path: str) -> None:
-    """Each collection as Parquet, partitioned by bundle: no bundle is gathered anywhere, whatever its size."""
+    """Each collection as Parquet in the order of bundles: no bundle is gathered anywhere, whatever its size, and the files
+    are as many as the data needs. Reads of one bundle skip row groups by their ranges of ``bundle_id``."""
     for name, df in collections.items():
-        df.write.mode("overwrite").partitionBy("bundle_id").parquet(f"{path}/{name}")
+        df.repartitionByRange("bundle_id").sortWithinPartitions("bundle_id").write.mode("overwrite").parquet(f"{path}/{name}")
 
 
 def bundle_documents(collections: dict[str, DataFrame], most_rows: int = 20_000) -> DataFrame:
-    """(bundle_id, json) of bundles of at most ``most_rows`` rows; larger ones belong in ``write_collections``.
+    """(bundle_id, n_rows, json) of every bundle; ``json`` is null beyond ``most_rows`` rows, which ``write_collections`` stores.
 
-    The bound is checked by counts before any rows are gathered.
+    The bound is checked by counts before any rows are gathered, and no bundle is left out.
     """
     counts = None
     for df in collections.values():
         n = df.groupBy("bundle_id").agg(F.count(F.lit(1)).alias("n"))
         counts = n if counts is None else counts.unionByName(n)
-    small = counts.groupBy("bundle_id").agg(F.sum("n").alias("n")).where(F.col("n") <= most_rows).select("bundle_id")
-    out = small
+    sizes = counts.groupBy("bundle_id").agg(F.sum("n").alias("n_rows"))
+    small = sizes.where(F.col("n_rows") <= most_rows).select("bundle_id")
+    out = sizes
     for name, df in collections.items():
         rows = df.join(small, "bundle_id", "left_semi").groupBy("bundle_id").agg(F.sort_array(F.collect_list(F.struct(*[c for c in df.columns if c != "bundle_id"]))).alias(name))
         out = out.join(rows, "bundle_id", "left")
     body = F.struct(F.col("bundle_id"), F.lit(VERSION).alias("schema_version"), *[F.col(n) for n in collections])
-    return out.select("bundle_id", F.to_json(body).alias("json"))
+    return out.select("bundle_id", "n_rows", F.when(F.col("n_rows") <= most_rows, F.to_json(body)).alias("json"))
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """(file, size, hash) of every file under a folder."""
+    """(file, size, hash) of every file under a folder; ``file`` is the path below it."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return f.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("size"), F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("hash"))
+    root = spark._jvm.org.apache.hadoop.fs.Path(path).toUri().getPath().rstrip("/") + "/"
+    inner = F.substring_index(F.concat(F.lit("/"), F.regexp_replace("path", r"^[a-z0-9]+:/*", "")), root, -1)
+    return f.select(inner.alias("file"), F.col("length").alias("size"), F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("hash"))
 
 
 def manifest_differences(expected: DataFrame, actual: DataFrame) -> DataFrame:

@@ -59,3 +59,11 @@ def test_validation(spark):
     assert V.schema_drift(a.schema, b.schema) == ["missing ref"]
     nested = spark.createDataFrame([], "x struct<t:struct<start:string,end:string>>, y array<struct<start:string,end:string>>").schema
     assert V.struct_paths(nested, {"start", "end"}) == ["x.t", "y[]"]
+
+
+def test_prune_follows_chains_of_any_length(spark):
+    n = 30
+    nodes = spark.createDataFrame([(f"n{i}",) for i in range(n)], "id string")
+    edges = spark.createDataFrame([(f"n{i}", f"n{i - 1}") for i in range(1, n)], "id string, rests_on string")
+    got = E.prune(nodes, edges, spark.createDataFrame([("n0",)], "id string")).collect()
+    assert {r["id"] for r in got} == {f"n{i}" for i in range(1, n)} and {r["fate"] for r in got} == {"drop"}

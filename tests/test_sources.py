@@ -19,9 +19,16 @@ def test_bundles_round_trip(spark, tmp_path):
     assert B.collection(b, "gaps").count() == 0 and len(B.COLLECTIONS) == 23
     (out,) = B.bundle_documents({"claims": c.drop("position")}).collect()
     assert [x["id"] for x in json.loads(out["json"])["claims"]] == ["c1", "c2"]
-    assert B.bundle_documents({"claims": c}, most_rows=1).count() == 0
+    (large,) = B.bundle_documents({"claims": c}, most_rows=1).collect()
+    assert (large["bundle_id"], large["n_rows"], large["json"]) == ("b1", 2, None)
     B.write_collections({"claims": c}, str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out/claims")).count() == 2
     m = B.manifest(spark, str(tmp_path / "in"))
+    (tmp_path / "same/a").mkdir(parents=True)
+    (tmp_path / "same/b").mkdir()
+    for x in ("a", "b"):
+        (tmp_path / f"same/{x}/data.json").write_text(x)
+    assert sorted(r["file"] for r in B.manifest(spark, str(tmp_path / "same")).collect()) == ["a/data.json", "b/data.json"]
     assert B.manifest_differences(m, m).count() == 0
     (tmp_path / "in/b2.json").write_text(json.dumps(doc | {"schema_version": "9"}))
     assert [r["difference"] for r in B.manifest_differences(m.limit(1), B.manifest(spark, str(tmp_path / "in"))).collect()] in (["new"], [])

@@ -70,3 +70,8 @@ def test_hot_texts_are_broadcast_and_equal(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert O.normalize_times(_keyed(spark, [])).count() == 0
+
+
+def test_texts_of_any_length():
+    assert canonical("  12 " + " " * 5000 + " May   2020 ") == "2020-05-12"
+    assert canonical("x" * 100_000) is None
