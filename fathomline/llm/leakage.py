@@ -1,10 +1,9 @@
 """Evaluation passages inside a corpus, by greedy string tiling.
 
-Items are tokenised once; their n-grams form a seed index that travels with the tasks (items come in blocks of a bounded
-number of tokens, so the index is bounded whatever their number). Each document is scanned once: shared seeds give
-candidate items and a window of the document; inside it, greedy string tiling repeatedly marks the longest unmarked common
-runs, found by running Karp-Rabin hashes. An item is reported if its tiles cover enough of one running passage and the
-passage keeps the item's names and figures. Tiles may come in any order.
+Documents and items are joined on shared seeds (runs of three tokens), the items' rarer ones. A pair with enough of them is
+looked at by itself: its seeds give a window of the document; inside it, greedy string tiling repeatedly marks the longest
+unmarked common runs, found by running Karp-Rabin hashes. An item is reported if its tiles cover enough of one running passage
+and the passage keeps the item's names and figures. Tiles may come in any order.
 """
 
 from __future__ import annotations
@@ -14,12 +13,17 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomline.llm.confusables import PLAIN, canonical_form
+from fathomline.session import cut
 
 #: Tokens of a seed; least length of a tile; least share of an item's tokens that seeds of one window cover.
 SEED, TILE, LEAST_SEEDED = 3, 3, 0.25
@@ -29,8 +33,8 @@ LEAST_SPAN, LEAST_COVER = 0.46, 0.4
 LEAST_KEYS, LEAST_FIGURES = 0.55, 0.5
 #: A window of a document is this many times as long as the item.
 WINDOW = 1.7
-#: Tokens of items whose index is broadcast at a time.
-BLOCK_TOKENS = 2_000_000
+#: Bits of the filter of item seeds that documents pass before the join; a power of two.
+SLOTS = 1 << 22
 _MASK = (1 << 61) - 1
 _BASE = 1_000_003
 
@@ -82,8 +86,11 @@ class SeedIndex:
 
     def find(self, text: str) -> list[tuple[int, float, int]]:
         """(item id, share of the item in tiles, number of tiles) of every item found in a text."""
+        return self.find_in(tokens_of(text))
+
+    def find_in(self, tokens: list[str]) -> list[tuple[int, float, int]]:
         get = self.words.get
-        doc = [get(w, 0) for w in tokens_of(text)]
+        doc = [get(w, 0) for w in tokens]
         seeds = self.seeds
         hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for j, s in enumerate(zip(*(doc[i:] for i in range(SEED)))):
@@ -218,35 +225,111 @@ def _keeps(item: Item, covered: list[bool], a: int, b: int) -> bool:
     return (not keys or in_text >= LEAST_KEYS * len(keys)) and (not figures or sum(covered[i] for i in figures) >= LEAST_FIGURES * len(figures))
 
 
-def leaked_items(documents: DataFrame, items: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+@lru_cache(maxsize=1_000_000)
+def _token_hash(token: str) -> int:
+    return xxhash.xxh3_64_intdigest(token)
+
+
+def seed_hashes(tokens: list[str]) -> np.ndarray:
+    """A 64-bit number for each run of ``SEED`` tokens."""
+    h = np.array([_token_hash(t) for t in tokens], np.uint64)
+    if len(h) < SEED:
+        return np.zeros(0, np.int64)
+    out = np.zeros(len(h) - SEED + 1, np.uint64)
+    for i in range(SEED):
+        out = (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + h[i : len(h) - SEED + 1 + i]
+    return ((out ^ (out >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)).view(np.int64)
+
+
+def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            seeds = seed_hashes(tokens_of(t))
+            if n := len(seeds):
+                kinds, times = np.unique(seeds, return_counts=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(kinds), i)), pa.array(kinds), pa.array(times), pa.array(np.full(len(kinds), n + SEED - 1))], names=["item_id", "seed", "times", "n_tokens"]
+                )
+
+
+def item_keys(items: DataFrame) -> DataFrame:
+    """(seed, item_id, times, need): the seeds by which documents find an item, without its most frequent ones.
+
+    Tiles that cover ``LEAST_COVER`` of an item hold at least ``least`` of its seeds, one for every ``TILE`` tokens. An item's seeds that most items have, up to
+    half of ``least``, are left out and the rest must then hold ``need`` = ``least`` less these, so that nothing is lost.
+    """
+    seeds = items.mapInArrow(_item_seeds, "item_id bigint, seed bigint, times bigint, n_tokens bigint")
+    spread = seeds.groupBy("seed").agg(F.count(F.lit(1)).alias("n_items"))
+    least = F.greatest(F.lit(1), F.ceil(F.col("n_tokens") * LEAST_COVER / TILE)).cast("bigint")
+    first = Window.partitionBy("item_id").orderBy(F.desc("n_items"), "seed")
+    ranked = seeds.join(spread, "seed").select("item_id", "seed", "times", least.alias("least"), F.sum("times").over(first).alias("sum"))
+    spare = F.floor(F.col("least") / 2)
+    return ranked.where(F.col("sum") > spare).select("seed", "item_id", "times", (F.col("least") - spare).alias("need"))
+
+
+def _document_seeds(bitmap: Broadcast):
+    """Rows (doc_id, text) -> (doc_id, seed): the distinct seeds of a document whose slot some item has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots = bitmap.value
+        for b in batches:
+            ids, seeds = [], []
+            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                s = seed_hashes(tokens_of(t))
+                s = np.unique(s[slots[s & (SLOTS - 1)]])
+                if len(s):
+                    ids.append(np.full(len(s), d))
+                    seeds.append(s)
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids), pa.int64()), pa.array(np.concatenate(seeds), pa.int64())], names=["doc_id", "seed"])
+
+    return run
+
+
+def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of one document after another. Counting seeds by their hashes comes before the item's own index."""
+
+    @lru_cache(maxsize=5000)
+    def item(item_id: int, text: str) -> tuple[SeedIndex, np.ndarray, np.ndarray, float]:
+        tokens = tokens_of(text)
+        return SeedIndex([(item_id, text)]), *np.unique(seed_hashes(tokens), return_counts=True), LEAST_SEEDED * len(tokens) - SEED
+
+    types = (pa.int64(), pa.int64(), pa.float64(), pa.int32())
+    last, tokens, seeds = None, [], np.zeros(0, np.int64)
+    for b in batches:
+        out = []
+        for d, t, i, passage in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "item_id", "item_text"))):
+            if t != last:
+                last, tokens = t, tokens_of(t)
+                seeds = seed_hashes(tokens)
+            index, kinds, times, least = item(i, passage)
+            at = np.minimum(np.searchsorted(kinds, seeds), len(kinds) - 1)
+            if times[at[kinds[at] == seeds]].sum() >= least:
+                out += [(d, *f) for f in index.find_in(tokens)]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["doc_id", "item_id", "coverage", "n_tiles"])
+
+
+def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, coverage, n_tiles): every document with the items it contains.
 
-    documents: ``doc_id``, ``text``; items: ``item_id``, ``text``; other columns are ignored. Null texts and items shorter
-    than a seed match nothing; documents are read whole, each once per block of items; repeated document rows count once;
-    an empty table on either side gives an empty result.
+    documents: ``doc_id``, ``text``; items: ``item_id``, ``text``; other columns are ignored. Null ids and texts and items
+    shorter than a seed match nothing; texts are read whole; repeated rows count once; an empty table on either side gives
+    an empty result.
+
+    One scan of the corpus joins documents and items on shared seeds, whatever the number of items; neither side comes to
+    the driver. What is broadcast before the join is a bitmap of ``SLOTS`` bits over the items' seeds. Pairs that share
+    enough seeds are tiled, each by itself.
     """
-    blocks: list[list[tuple[int, str]]] = []
-    room = 0
-    for r in items.select("item_id", "text").where("item_id IS NOT NULL AND text IS NOT NULL").distinct().orderBy("item_id").toLocalIterator():
-        if room <= 0:
-            blocks.append([])
-            room = block_tokens
-        blocks[-1].append((r[0], r[1]))
-        room -= len(r[1]) // 4 + 1
+    spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    schema = "doc_id bigint, item_id bigint, coverage double, n_tiles int"
-    found = None
-    for block in blocks or [[]]:
-        index = SeedIndex(block)
-
-        def scan(batches: Iterator[pa.RecordBatch], index: SeedIndex = index) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                out = [(d, *f) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for f in index.find(t)]
-                if out:
-                    cols = list(zip(*out))
-                    types = (pa.int64(), pa.int64(), pa.float64(), pa.int32())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["doc_id", "item_id", "coverage", "n_tiles"])
-
-        part = docs.mapInArrow(scan, schema)
-        found = part if found is None else found.unionByName(part)
+    texts = items.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").alias("item_text")).where("item_id IS NOT NULL AND item_text IS NOT NULL").distinct()
+    keys = cut(item_keys(texts), "items")
+    taken = keys.select(F.col("seed").bitwiseAND(F.lit(SLOTS - 1)).cast("int").alias("slot")).distinct().toArrow()
+    slots = np.zeros(SLOTS, bool)
+    slots[taken.column("slot").to_numpy()] = True
+    hits = docs.mapInArrow(_document_seeds(spark.sparkContext.broadcast(slots)), "doc_id bigint, seed bigint")
+    shared = hits.join(keys, "seed").groupBy("doc_id", "item_id").agg(F.sum("times").alias("n"), F.min("need").alias("need"))
+    pairs = cut(shared.where("n >= need").select("doc_id", "item_id"), "pairs")
+    found = docs.join(pairs.join(texts, "item_id"), "doc_id").select("doc_id", "text", "item_id", "item_text").mapInArrow(_judged, "doc_id bigint, item_id bigint, coverage double, n_tiles int")
     return found.groupBy("doc_id", "item_id").agg(F.max("coverage").alias("coverage"), F.max("n_tiles").alias("n_tiles"))

@@ -160,7 +160,7 @@ def p7_leaked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every evaluation item with the number of documents that contain it and the best coverage among them."""
     items = table(spark, sf_dir, "eval_items")
     found = leaked_items(table(spark, sf_dir, "documents"), items).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"), F.max("coverage").alias("coverage"))
-    return items.select("item_id", "suite").join(F.broadcast(found), "item_id", "left").select(
+    return items.select("item_id", "suite").join(found, "item_id", "left").select(
         "item_id", "suite", F.coalesce("n_documents", F.lit(0)).alias("n_documents"), F.round(F.coalesce("coverage", F.lit(0.0)), 6).alias("coverage")
     )
 

@@ -69,6 +69,17 @@ def test_operator(spark):
     docs = [(1, ITEM, "x"), (1, ITEM, "x"), (2, PAD, "x"), (3, None, "x"), (4, "", "x"), (5, PAD * 3000 + OTHER, "x")]
     d = spark.createDataFrame(docs, "doc_id bigint, text string, item_id string")
     items = spark.createDataFrame([(1, ITEM, "s"), (2, OTHER, "s"), (3, None, "s"), (4, "too short", "s"), (2, OTHER, "s")], "item_id bigint, text string, doc_id string")
-    for block in (1, 1_000_000):
-        assert {(r["doc_id"], r["item_id"]) for r in leaked_items(d, items, block).collect()} == {(1, 1), (5, 2)}
+    assert {(r["doc_id"], r["item_id"]) for r in leaked_items(d, items).collect()} == {(1, 1), (5, 2)}
     assert leaked_items(d.limit(0), items).count() == 0 and leaked_items(d, items.limit(0)).count() == 0
+
+
+def test_many_items_in_one_scan(spark):
+    """Hundreds of items that share most of their seeds; the join finds what an index of all items finds."""
+    rnd = random.Random(4)
+    things = ["".join(rnd.choice("abcdefghiklmnoprstu") for _ in range(6)) for _ in range(400)]
+    items = [(i, ITEM.replace("Pell Compass", " ".join(rnd.sample(things, 2)).title()).replace("lighthouse keepers", " ".join(rnd.sample(things, 4))).replace("1,116", str(2000 + i)).replace("9,275", str(5000 + 3 * i))) for i in range(300)]
+    docs = [(i, PAD + rnd.choice(items)[1] + PAD) if i % 3 else (i, PAD + " ".join(rnd.choice(items)[1].split()[20:])) for i in range(60)] + [(99, PAD * 3)]
+    index = SeedIndex(items)
+    want = {(d, f[0]) for d, t in docs for f in index.find(t)}
+    got = leaked_items(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want and len({d for d, _ in want}) == 60
