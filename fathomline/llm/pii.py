@@ -10,7 +10,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from difflib import SequenceMatcher
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -45,6 +44,17 @@ august september october november december monday tuesday wednesday thursday fri
 # Words before a surname, and words by which a name is introduced.
 HONORIFICS = ("mr", "mrs", "ms", "miss", "dr", "prof", "herr", "frau", "señor", "señora", "sr", "sra", "mme", "madame", "monsieur", "sir")
 NAME_CONTEXT = ("signed", "contact", "ask", "regards", "sincerely", "name", "holder", "attn", "invoices", "cc", "author", "founder", "interview with", "write to")
+# Words before and after a person's name that a product, place or organisation seldom has; each of them, and
+# contact or identity data that follows, makes a pair of capitalised words a name though its first word is in no list.
+PERSON_BEFORE = ("says", "said", "asked", "told", "thanked", "photo by", "written by", "review by", "nobody but", "belonged to", "form names", "scan showed", "dear", "signed", "credit", "thanks go to", "invoices went to", "contact", "ask")
+PERSON_AFTER = ("said", "says", "told", "wrote", "writes", "asked", "replied", "recalls", "remembers", "thinks", "believes", "lived at", "lives at", "can be reached", "left and", "was born", "answers")
+DATA_AFTER = ("tel", "phone", "national id", "passport", "social security", "ssn", "ni number", "driver's licence", "dni", "steuer-id", "with ssn", "with passport", "with national", "with dni", "with ni number", "with social", "with driver", "with steuer")
+# Capitalised words that begin sentences or name times, and so no person.
+NOT_GIVEN = frozenset("""
+a all an and another any april at august but by contact credit december dear february for friday from he her here his how i if in it its january
+july june march may monday my nobody no not november now october on one our ask saturday say says september she show signed since so some
+sunday that the their then there these they this those thursday to tuesday we wednesday what when where who why with you your
+""".split())
 # Street words.
 STREETS_AFTER = "street|st|avenue|ave|road|rd|lane|ln|drive|dr|boulevard|blvd|court|ct|terrace|crescent|mews|way|place|pl|square|sq|close|row|gardens|grove|parkway|pkwy|highway|hwy|walk|quay|circle"
 STREETS_BEFORE_FR = "rue|avenue|boulevard|place|chemin|allée|impasse|quai|cours|route|passage"
@@ -82,6 +92,8 @@ _ID_NEAR = re.compile(rf"\b(?:{ID_CONTEXT})\b[^\d\n]{{0,24}}$", re.IGNORECASE)
 _PHONE_NEAR = re.compile(rf"\b(?:{PHONE_CONTEXT})\b[^\d\n]{{0,28}}$", re.IGNORECASE)
 _OTHER_NEAR = re.compile(rf"(?:\b|#)(?:{OTHER_CONTEXT})\b\.?[\s:#-]*(?:such as\s+|was\s+|is\s+)?$", re.IGNORECASE)
 _NAME_NEAR = re.compile(rf"\b(?:{'|'.join(NAME_CONTEXT)})\b[:,]?\s*(?:to\s+)?$", re.IGNORECASE)
+_PERSON_NEAR = re.compile(rf"\b(?:{'|'.join(PERSON_BEFORE)})[:,]?\s+$", re.IGNORECASE)
+_PERSON_NEXT = re.compile(rf"\s*,?\s+(?:{'|'.join((*PERSON_AFTER, *DATA_AFTER))})\b|\s*(?:[<(/]\s*[+\w])")
 _ADDRESSES = [
     re.compile(rf"(?:\b(?:flat|apt|unit|suite)\.?\s+\w{{1,4}},\s*)?(?<![\w$€£.,-])\d{{1,5}}(?:[a-zA-Z]|-\d{{1,4}})?,?\s+(?:[NSEW]\.?\s+)?(?:{_CAP}\s+){{1,3}}(?i:{STREETS_AFTER})\b\.?(?:,?\s*(?i:apt|apartment|suite|unit|flat|#)\.?\s*\w{{1,4}})?"),
     re.compile(rf"(?<![\w$€£.,-])\d{{1,4}}(?:\s?(?:bis|ter))?,?\s+(?i:{STREETS_BEFORE_FR})\s+(?i:(?:de|des|du|la|le|les|d'|l'|aux?)\s*)*{_CAP}(?:\s+{_CAP})?(?:,\s*\d{{5}}(?:\s+{_CAP}){{0,2}})?"),
@@ -239,6 +251,9 @@ def _names(text: str) -> Iterator[Span]:
             score = 0.8
         elif _NAME_NEAR.search(text[max(0, m.start() - 24) : m.start()]) and not given.isupper():
             score = 0.3 + 0.3 * bool(re.match(r"\s*(?:[<(/]|,?\s*tel\b)", text[m.end() : m.end() + 8]))
+        if score < THRESHOLD and given.lower() not in NOT_GIVEN and given[1:].islower() and last[-1].islower() and last.lower() not in NOT_GIVEN:
+            near = bool(_PERSON_NEAR.search(text[max(0, m.start() - 18) : m.start()]))
+            score = max(score, 0.1 + 0.4 * near + 0.4 * bool(_PERSON_NEXT.match(text, m.end())))
         if not _surname(last):
             score -= 0.6
         if score >= THRESHOLD:
@@ -247,7 +262,10 @@ def _names(text: str) -> Iterator[Span]:
         else:
             at = m.start() + len(given)
     for m in _NAME_REVERSED.finditer(text):
-        if m["given"].lower() in GIVEN_NAMES and _surname(m["last"].split()[-1]):
+        known = m["given"].lower() in GIVEN_NAMES or m["given"].lower() not in NOT_GIVEN and m["given"][1:].islower() and (
+            _PERSON_NEAR.search(text[max(0, m.start() - 16) : m.start()]) or _PERSON_NEXT.match(text, m.end())
+        )
+        if known and m["last"].split()[-1].lower() not in NOT_GIVEN and _surname(m["last"].split()[-1]):
             yield Span(m.start(), m.end(), "name", 0.6)
     for m in _HONORED.finditer(text):
         if m["last"][0].isupper() and _surname(m["last"]) and m[0][0].isupper() and not re.search(r"\d\S*\s+(?:\w+\s+)?$", text[max(0, m.start() - 16) : m.start()]):
@@ -261,6 +279,8 @@ def _names(text: str) -> Iterator[Span]:
             yield Span(m.start(), m.end(), "name", 0.6)
 
 
+_CUE_WORDS = frozenset(c.split()[0].split("'")[0].split("-")[0] for c in (*PERSON_BEFORE, *PERSON_AFTER, *DATA_AFTER) if not c.startswith("with ")) | {c.split()[1].split("-")[0] for c in DATA_AFTER if c.startswith("with ")}
+_ANY_PERSON = re.compile(rf"\b(?i:{'|'.join(PERSON_BEFORE)})[:,]?\s+{_CAP}\s|[a-zß-ÿ](?:{_PERSON_NEXT.pattern})")
 _NAME_HINTS = GIVEN_NAMES | frozenset(HONORIFICS) | {c.split()[0] for c in NAME_CONTEXT}
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -278,7 +298,7 @@ def find_spans(text: str) -> list[Span]:
     if not words.isdisjoint(_STREET_WORDS) or any(w.endswith(_STREET_ENDS) for w in words):
         for pattern in _ADDRESSES:
             spans += [Span(m.start(), m.end(), "address", 0.7) for m in pattern.finditer(text)]
-    if not words.isdisjoint(_NAME_HINTS) or _ANY_INITIAL.search(text):
+    if not words.isdisjoint(_NAME_HINTS) or _ANY_INITIAL.search(text) or (not words.isdisjoint(_CUE_WORDS) and _ANY_PERSON.search(text)):
         spans += _names(text)
     if len(spans) < 2:
         return spans
@@ -290,12 +310,30 @@ def find_spans(text: str) -> list[Span]:
     return sorted(kept, key=lambda s: s.start)
 
 
+def _next_common(text: str, canon: str, i: int, j: int) -> tuple[int, int]:
+    """Where a text and its canonical form go on alike after a difference at (i, j): the nearest place with four equal
+    characters, or with the end of both. Looks a bounded way ahead, so that aligning takes time linear in the text."""
+    for total in range(1, 49):
+        for b in range(total + 1):
+            x, y = i + total - b, j + b
+            if x <= len(text) and y <= len(canon) and text[x : x + 4] == canon[y : y + 4]:
+                return x, y
+    return min(i + 1, len(text)), j + 1
+
+
 def _back(text: str, canon: str, spans: list[Span]) -> list[Span]:
     """Spans of the canonical form as spans of the text it was made from."""
     to = [0] * (len(canon) + 1)
-    for tag, a0, a1, b0, b1 in SequenceMatcher(None, text, canon, autojunk=False).get_opcodes():
-        for j in range(b0, b1):
-            to[j] = a0 + (j - b0 if tag == "equal" else (a1 - a0) * (j - b0) // max(1, b1 - b0))
+    i = j = 0
+    while j < len(canon):
+        if i < len(text) and text[i] == canon[j]:
+            to[j] = i
+            i, j = i + 1, j + 1
+            continue
+        a, b = _next_common(text, canon, i, j)
+        for x in range(b - j):
+            to[j + x] = i + (a - i) * x // (b - j)
+        i, j = a, b
     to[len(canon)] = len(text)
     return [Span(to[s.start], to[s.end - 1] + 1 if s.end < len(canon) else len(text), s.kind, s.score) for s in spans]
 

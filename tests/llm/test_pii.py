@@ -1,5 +1,6 @@
 import pytest
 
+from fathomline.llm import pii as P
 from fathomline.llm.pii import _PARTICLE, NAME_CONTEXT, _names, dni_letter, find_spans, luhn, mod11_10, mod97, redact, redact_columns, types_in
 
 
@@ -60,3 +61,25 @@ def test_no_name_is_lost_to_the_cheap_test():
     for text in texts:
         assert find_spans(text) == list(_names(text)), text
     assert types_in("Regards, Xiulan Quist <") == types_in("K. el Amrani") == ["name"]
+
+
+UNLISTED = [("Xiulan", "Quist"), ("Oyelaran", "Bekoe"), ("Thorvi", "Hallgrim"), ("Piotrek", "Zawada"), ("Nkechi", "Obira"), ("Ansgar", "Velde"), ("Mirela", "Dragu"), ("Tadhg", "Rooney"), ("Ulugbek", "Sadyk"), ("Fenja", "Brodersen")]
+IN_CONTEXT = [
+    "Nobody but {} {} had the password.", "The form names {} {}, passport X1, as the holder.", "That was my idea, says {} {} today.", "Photo by {} {}.", "{} {} lived at the harbour then.",
+    "We heard that {} {} can be reached in spring.", "Invoices went to {} {}, every month.", "{} {} told the others to wait.", "Signed: {} {}", "A scan showed {} {} with SSN next to it.",
+]
+NO_PERSONS = ["We posted it on Hacker News and Show HN.", "People compared us with Carter Grid, said the report.", "In San Verano we said no.", "That August Monday told us much.", "Nobody but Product Hunt said so.", "Contact The Team said nobody."]
+
+
+def test_names_outside_the_list_are_found_by_context():
+    assert not {g.lower() for g, _ in UNLISTED} & P.GIVEN_NAMES
+    texts = [t.format(g, s) for g, s in UNLISTED for t in IN_CONTEXT]
+    found = [P.types_in(t).count("name") for t in texts]
+    assert sum(found) >= 0.9 * len(texts)
+    assert [t for t in NO_PERSONS if "name" in P.types_in(t)] == []
+
+
+def test_aligning_is_linear_and_keeps_the_rest():
+    text = "Ｃall ｍe at +1 (415) 555-0132 or wr​ite to a.b@x.example. " * 2000
+    got = P.redact(text)[0]
+    assert got == "Ｃall ｍe at [PHONE] or wr​ite to [EMAIL]. " * 2000
