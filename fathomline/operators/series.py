@@ -36,6 +36,20 @@ def fill_daily(points: DataFrame, end: Column) -> DataFrame:
     )
 
 
+# Days of history that a baseline needs, the gain that counts before that, and what a gain must reach later.
+LEAST_HISTORY, FIRST_GAIN, FLOOR_GAIN, FLOOR_SHARE, TIMES_BASELINE, OVER_BASELINE = 7, 20.0, 5.0, 0.002, 4, 2
+
+
+def floor_gain(total, larger):
+    """The least gain that can be a spike after ``total``: for columns or numbers, with ``larger`` of that kind."""
+    return larger(FLOOR_GAIN, total * FLOOR_SHARE)
+
+
+def spike_gain(history, baseline, floor, larger, choose):
+    """The gain from which a day is a spike: for columns or numbers, with ``larger`` and ``choose`` of that kind."""
+    return choose(history < LEAST_HISTORY, larger(FIRST_GAIN, floor), larger(baseline * TIMES_BASELINE + OVER_BASELINE, floor))
+
+
 def spikes(daily: DataFrame) -> DataFrame:
     """Gain, trailing baseline (mean of the 28 days before) and spike flag of each day of a gap-free series.
 
@@ -47,10 +61,9 @@ def spikes(daily: DataFrame) -> DataFrame:
     g = daily.select("series_id", "day", "cum", prev.alias("cum_prev"), F.when(first, F.col("cum")).otherwise(F.greatest(F.lit(0), F.col("cum") - prev)).alias("gain"))
     trailing = _by_day().rowsBetween(-28, -1)
     base = F.coalesce(F.sum("gain").over(trailing) / F.count("gain").over(trailing), F.lit(0.0))
-    g = g.select("*", base.alias("baseline"), F.count("gain").over(trailing).alias("history"), F.greatest(F.lit(5.0), F.col("cum_prev") * 0.002).alias("floor"))
-    spike = F.when(F.col("history") < 7, F.col("gain") >= F.greatest(F.lit(20.0), F.col("floor"))).otherwise(
-        (F.col("gain") >= F.col("floor")) & (F.col("gain") >= F.col("baseline") * 4 + 2)
-    )
+    larger = lambda x, y: F.greatest(x if isinstance(x, Column) else F.lit(x), y)
+    g = g.select("*", base.alias("baseline"), F.count("gain").over(trailing).alias("history"), floor_gain(F.col("cum_prev"), larger).alias("floor"))
+    spike = F.col("gain") >= spike_gain(F.col("history"), F.col("baseline"), F.col("floor"), larger, lambda c, x, y: F.when(c, x).otherwise(y))
     return g.withColumn("spike", spike)
 
 

@@ -10,7 +10,7 @@ from fathomline.operators import records as R
 from fathomline.operators import validation as V
 from fathomline.plans.domain import C, EV, H, claims, links, raw_events, stories
 from fathomline.plans.registry import core
-from fathomline.sources.listings import fetch_status, last_page
+from fathomline.sources.listings import fetch_status, last_page, page_heading
 from fathomline.sources.tables import table
 
 _REFS = [
@@ -79,17 +79,20 @@ def misfiled_claims(spark: SparkSession, d: str) -> DataFrame:
     return links(spark, d).join(c, "claim_id").where("filed_under <> target_key").select("event_id", "claim_id", "filed_under")
 
 
-_OBJECTS = {"claim": ("extracted_claims", "claim_id"), "event": ("rx_events", "event_id"), "episode": ("detected_episodes", "episode_id"), "release": ("releases", "release_id")}
+_OBJECTS = {"claim": ("extracted_claims", "claim_id"), "document": ("documents", "doc_id"), "subject": ("subject_areas", "subject")}
+_LABEL_REFS = {"document": "doc_id", "subject": "subject"}
 
 
-@core.query("resolved_references", "WITH o AS (" + " UNION ALL ".join(f"SELECT DISTINCT '{n}' AS type, CAST({k} AS VARCHAR) AS id FROM {t}" for n, (t, k) in _OBJECTS.items()) + f"), r AS (SELECT event_id, 'claim' AS type, CAST(unnest(claim_ids) AS VARCHAR) AS id FROM {EV} UNION ALL SELECT event_id, 'episode', CAST(event_id AS VARCHAR) FROM {EV}) SELECT r.event_id, r.type, r.id, o.id IS NOT NULL AS known FROM r LEFT JOIN o USING (type, id)")
+@core.query("resolved_references", "WITH o AS (" + " UNION ALL ".join(f"SELECT DISTINCT '{n}' AS type, CAST({k} AS VARCHAR) AS id FROM {t}" for n, (t, k) in _OBJECTS.items()) + f"), r AS (SELECT 'event' AS from_type, CAST(event_id AS VARCHAR) AS from_id, 'claim' AS type, CAST(unnest(claim_ids) AS VARCHAR) AS id FROM {EV} UNION ALL " + " UNION ALL ".join(f"SELECT 'label', CAST(doc_id AS VARCHAR) || '/' || coalesce(annotator, ''), '{n}', CAST({c} AS VARCHAR) FROM subject_labels" for n, c in _LABEL_REFS.items()) + ") SELECT r.from_type, r.from_id, r.type, r.id, o.id IS NOT NULL AS known FROM r LEFT JOIN o USING (type, id)")
 def resolved_references(spark: SparkSession, d: str) -> DataFrame:
-    """References of several types against one table of all objects."""
-    parts = [table(spark, d, t).select(F.lit(n).alias("type"), F.col(k).cast("string").alias("id")).distinct() for n, (t, k) in _OBJECTS.items()]
-    objects = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).withColumn("known", F.lit(True))
-    ev = raw_events(spark, d)
-    refs = links(spark, d).select("event_id", F.lit("claim").alias("type"), F.col("claim_id").cast("string").alias("id")).unionByName(ev.select("event_id", F.lit("episode").alias("type"), F.col("event_id").cast("string").alias("id")))
-    return refs.join(objects, ["type", "id"], "left").select("event_id", "type", "id", F.coalesce("known", F.lit(False)).alias("known"))
+    """References of several types (events to claims, labels to documents and subjects) against one table of all objects."""
+    objects = V.all_violations([table(spark, d, t).select(F.lit(n).alias("type"), F.col(k).cast("string").alias("id")).distinct() for n, (t, k) in _OBJECTS.items()]).withColumn("known", F.lit(True))
+    cited = links(spark, d).select(F.lit("event").alias("from_type"), F.col("event_id").cast("string").alias("from_id"), F.lit("claim").alias("type"), F.col("claim_id").cast("string").alias("id"))
+    labels = table(spark, d, "subject_labels")
+    who = F.concat(F.col("doc_id").cast("string"), F.lit("/"), F.coalesce("annotator", F.lit("")))
+    named = [labels.select(F.lit("label").alias("from_type"), who.alias("from_id"), F.lit(n).alias("type"), F.col(c).cast("string").alias("id")) for n, c in _LABEL_REFS.items()]
+    refs = V.all_violations([cited, *named])
+    return refs.join(objects, ["type", "id"], "left").select("from_type", "from_id", "type", "id", F.coalesce("known", F.lit(False)).alias("known"))
 
 
 @core.query("run_counts", " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM {t}" for t in ("extracted_claims", "hn_stories", "reddit_posts", "releases", "detected_episodes", "search_results", "feed_items", "rx_events", "documents")))
@@ -142,11 +145,12 @@ def attributed_results(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "search_results").join(p, "target_key", "left").select("result_id", F.coalesce("t", F.lit("unattributed")).alias("attributed_to")).distinct()
 
 
-@core.query("page_headings", r"""SELECT doc_id, NULLIF(trim(regexp_extract(text, '(?:^|\n)#+ +([^\n]+)', 1)), '') AS heading FROM documents""")
+@core.query("page_headings", r"""SELECT doc_id, coalesce(NULLIF(trim(regexp_replace(regexp_replace(regexp_extract(text, '(?is)<h[12][^>]*>(.*?)</h[12]>', 1), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')), ''), NULLIF(trim(regexp_extract(text, '(?:^|\n)#+ +([^\n]+)', 1)), '')) AS heading FROM documents""")
 def page_headings(spark: SparkSession, d: str) -> DataFrame:
-    """The first heading of each document."""
-    h = F.trim(F.regexp_extract("text", r"(?:^|\n)#+ +([^\n]+)", 1))
-    return table(spark, d, "documents").select("doc_id", F.when(h != "", h).alias("heading"))
+    """The first heading of each document: of its HTML, else the first line marked as one."""
+    marked = F.nullif(F.trim(F.regexp_extract("text", r"(?:^|\n)#+ +([^\n]+)", 1)), F.lit(""))
+    html = page_heading(F.regexp_replace("text", r"(?i)(</?)h2\b", "$1h1"), F.lit(None).cast("string"))
+    return table(spark, d, "documents").select("doc_id", F.coalesce(html, marked).alias("heading"))
 
 
 @core.query("claims_by_reference", f"WITH l AS (SELECT event_id, unnest(claim_ids) AS claim_id FROM {EV}) SELECT claim_id, count(*) AS n_events, min(event_id) AS first_event FROM l WHERE claim_id IS NOT NULL GROUP BY 1")

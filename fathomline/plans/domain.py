@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import calendar
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,7 +53,7 @@ def episodes(spark: SparkSession, d: str) -> DataFrame:
 
 def events(spark: SparkSession, d: str) -> DataFrame:
     e = raw_events(spark, d, "target_key", "event_type", "event_date", "event_date_end", "date_label", "claim_ids")
-    e = e.withColumn("r0", D.range_from_partial(F.col("event_date"), F.col("date_label"))).withColumn("r1", D.range_from_partial(F.col("event_date_end")))
+    e = e.withColumn("r0", D.named_range(F.col("event_date"), F.col("date_label"))).withColumn("r1", D.named_range(F.col("event_date_end")))
     return e.withColumn("r", D.with_end(F.col("r0"), F.col("r1"), F.col("date_label"))).drop("r0", "r1")
 
 
@@ -248,7 +250,7 @@ def cited_sources(spark: SparkSession, d: str) -> DataFrame:
 def event_date_consistency(spark: SparkSession, d: str) -> DataFrame:
     """Whether every event's time fits the times of its claims."""
     e = events(spark, d).select("event_id", F.col("r.start").alias("s"), F.coalesce("r.end", "r.start").alias("e"), "claim_ids")
-    c = claims(spark, d, "claim_date", "date_label").select("claim_id", D.range_from_partial(F.col("claim_date"), F.col("date_label")).alias("cr"))
+    c = claims(spark, d, "claim_date", "date_label").select("claim_id", D.named_range(F.col("claim_date"), F.col("date_label")).alias("cr"))
     pairs = e.select("event_id", "s", "e", F.explode("claim_ids").alias("claim_id")).join(c, "claim_id")
     fits = (F.col("cr.start").cast("date") <= F.col("e").cast("date")) & (F.col("s").cast("date") <= F.col("cr.end").cast("date"))
     j = pairs.groupBy("event_id").agg(F.bool_or(F.coalesce(fits, F.lit(False))).alias("fits"), F.bool_or(F.col("cr.start").isNotNull()).alias("dated"))
@@ -270,7 +272,7 @@ def corroborated_statements(spark: SparkSession, d: str) -> DataFrame:
     HAVING count(DISTINCT v) >= 2 AND count(DISTINCT claim_id) >= 2 AND (max(v) = 0 OR (max(v) - min(v)) / max(v) >= 0.03)""")
 def metric_conflicts(spark: SparkSession, d: str) -> DataFrame:
     """Metrics of one target and period that claims state with different values."""
-    c = claims(spark, d, "target_key", "claim_date", "date_label", "metric").select("claim_id", "target_key", F.col("metric.metric_name").alias("metric_name"), F.col("metric.metric_value").alias("mv"), D.range_from_partial(F.col("claim_date"), F.col("date_label")).alias("r"))
+    c = claims(spark, d, "target_key", "claim_date", "date_label", "metric").select("claim_id", "target_key", F.col("metric.metric_name").alias("metric_name"), F.col("metric.metric_value").alias("mv"), D.named_range(F.col("claim_date"), F.col("date_label")).alias("r"))
     period = F.when(F.col("r.precision") == "year", F.date_format("r.start", "yyyy")).otherwise(F.date_format("r.start", "yyyy-MM"))
     return E.conflicts(c.withColumn("period", period), ["target_key", "metric_name", "period"], "mv", "claim_id")
 
@@ -461,13 +463,27 @@ def latest_metric_stats(spark: SparkSession, d: str) -> DataFrame:
     return R.top_per_key(s, ["target_key"], [F.desc("n"), F.col("metric_name")], 4).select("target_key", "metric_name", "n", "last_value")
 
 
-@core.query("latest_feed_items", "SELECT target_key, item_id, title FROM (SELECT DISTINCT target_key, item_id, title, url FROM feed_items WHERE target_key IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY target_key ORDER BY url DESC, item_id) <= 120")
-def latest_feed_items(spark: SparkSession, d: str) -> DataFrame:
-    """At most 120 feed items of each target, by the dated path of their URL."""
-    f = table(spark, d, "feed_items").where("target_key IS NOT NULL").select("target_key", "item_id", "title", "url").distinct()
-    return R.top_per_key(f, ["target_key"], [F.desc_nulls_first("url"), F.col("item_id")], 120).select("target_key", "item_id", "title")
+_MONTH_LIST = "['" + "', '".join(calendar.month_abbr[1:]) + "']"
+_MAIL_DAY = r"^(?:[A-Za-z]{3},? +)?([0-9]{1,2}) +([A-Z][a-z]{2}) +([0-9]{4})"
 
 
+@core.query(
+    "latest_feed_items",
+    rf"""WITH f AS (SELECT DISTINCT target_key, item_id, title, published FROM feed_items WHERE target_key IS NOT NULL),
+    g AS (SELECT *, regexp_extract(published, '{_MAIL_DAY}', 1) AS dd, list_position({_MONTH_LIST}, regexp_extract(published, '{_MAIL_DAY}', 2)) AS mm, regexp_extract(published, '{_MAIL_DAY}', 3) AS yy FROM f),
+    h AS (SELECT target_key, item_id, title, CASE WHEN regexp_matches(published, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') THEN substr(published, 1, 10)
+      WHEN mm > 0 THEN yy || '-' || lpad(CAST(mm AS VARCHAR), 2, '0') || '-' || lpad(dd, 2, '0') END AS day FROM g)
+    SELECT target_key, item_id, title, day FROM h QUALIFY row_number() OVER (PARTITION BY target_key ORDER BY day DESC NULLS LAST, item_id) <= 120""",
+)
+def latest_feed_items(spark: SparkSession, d: str) -> DataFrame:
+    """The latest 120 feed items of each target, by the day of an ISO or a mail date; items without one come last."""
+    f = table(spark, d, "feed_items").where("target_key IS NOT NULL").select("target_key", "item_id", "title", "published").distinct()
+    part = [F.regexp_extract("published", _MAIL_DAY, k) for k in (1, 2, 3)]
+    month = F.array_position(F.array(*[F.lit(m) for m in calendar.month_abbr[1:]]), part[1])
+    mail = F.concat_ws("-", part[2], F.lpad(month.cast("string"), 2, "0"), F.lpad(part[0], 2, "0"))
+    day = F.when(F.col("published").rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}"), F.substring("published", 1, 10)).when(month > 0, mail)
+    dated = f.select("target_key", "item_id", "title", day.alias("day"))
+    return R.top_per_key(dated, ["target_key"], [F.desc_nulls_last("day"), F.col("item_id")], 120).select("target_key", "item_id", "title", "day")
 
 
 _LABELS = {"launch": "Launch", "product_hunt_launch": "Launch", "show_hn": "Show HN", "hacker_news_post": "Hacker News", "reddit_post": "Reddit", "release": "Release", "funding": "Funding", "press": "Press", "reversal": "Reversal"}

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomline.functions import dates as D
+from fathomline.functions.timestamps import SPAN_DAYS
+from fathomline.operators.timestamps import micros_text, normalize_times, time_key
 from fathomline.functions import text as T
 from fathomline.functions import urls as U
 from fathomline.plans.registry import core
@@ -274,7 +276,7 @@ _F = "strftime({0}, '%Y-%m-%dT%H:%M:%SZ')"
 def claim_ranges(spark: SparkSession, d: str) -> DataFrame:
     """The time range that every claim's date names."""
     c = table(spark, d, "extracted_claims").select("claim_id", "claim_date", "date_label").distinct()
-    r = c.select("claim_id", D.range_from_partial(F.col("claim_date"), F.col("date_label")).alias("r"))
+    r = c.select("claim_id", D.named_range(F.col("claim_date"), F.col("date_label")).alias("r"))
     return r.select("claim_id", D.iso(F.col("r.start")).alias("range_start"), D.iso(F.col("r.end")).alias("range_end"), F.col("r.precision").alias("precision"), F.col("r.label").alias("label"))
 
 
@@ -289,8 +291,8 @@ _LABEL = """CASE WHEN label IS NOT NULL AND label <> '' AND (regexp_matches(labe
 def claim_date_labels(spark: SparkSession, d: str) -> DataFrame:
     """How every claim's date is shown."""
     c = table(spark, d, "extracted_claims").select("claim_id", "claim_date", "date_label").distinct()
-    r = c.select("claim_id", D.range_from_partial(F.col("claim_date"), F.col("date_label")).alias("r"))
-    return r.select("claim_id", D.human_label(F.col("r")).alias("shown"))
+    r = c.select("claim_id", D.named_range(F.col("claim_date"), F.col("date_label")).alias("r"))
+    return r.select("claim_id", D.shown_range(F.col("r")).alias("shown"))
 
 
 @core.query(
@@ -304,12 +306,13 @@ def claim_date_labels(spark: SparkSession, d: str) -> DataFrame:
 def event_ranges(spark: SparkSession, d: str) -> DataFrame:
     """The time range of every event, with its end date where that is not before the start."""
     e = table(spark, d, "rx_events").select("event_id", "event_date", "event_date_end", "date_label").distinct()
-    e = e.select("event_id", "date_label", D.range_from_partial(F.col("event_date"), F.col("date_label")).alias("r0"), D.range_from_partial(F.col("event_date_end")).alias("r1"))
+    e = e.select("event_id", "date_label", D.named_range(F.col("event_date"), F.col("date_label")).alias("r0"), D.named_range(F.col("event_date_end")).alias("r1"))
     r = e.select("event_id", D.with_end(F.col("r0"), F.col("r1"), F.col("date_label")).alias("r"))
     return r.select("event_id", D.iso(F.col("r.start")).alias("range_start"), D.iso(F.col("r.end")).alias("range_end"), F.col("r.precision").alias("precision"))
 
 
-_AGO = r"^(\d+|an?|one)\s+(minute|hour|day|week|month|year)s?\s+ago$"
+# Counted ages in SQL: the units are those of the parser.
+_AGO = rf"^(an?|one|[0-9]{{1,6}})\s+({'|'.join(('minute', 'hour', 'day', *SPAN_DAYS))})s?\s+ago$"
 
 
 @core.query(
@@ -323,8 +326,9 @@ _AGO = r"^(\d+|an?|one)\s+(minute|hour|day|week|month|year)s?\s+ago$"
 )
 def page_age_ranges(spark: SparkSession, d: str) -> DataFrame:
     """The days that counted ages of search results mean."""
-    s = table(spark, d, "search_results").where(F.lower(F.trim("page_age")).rlike(_AGO)).select("result_id", "page_age", "retrieved_at").distinct()
-    r = s.select("result_id", D.range_from_page_age(F.col("page_age"), F.col("retrieved_at")).alias("r"))
+    s = table(spark, d, "search_results").select("result_id", "page_age", "retrieved_at").distinct()
+    keyed = s.select("result_id", *time_key("page_age", F.col("page_age"), ref_micros=micros_text(F.col("retrieved_at")))).where("t_ref <> ''")
+    r = normalize_times(keyed).where("t_canon IS NOT NULL").select("result_id", D.canonical_range(F.col("t_canon"), F.col("t_raw")).alias("r"))
     return r.select("result_id", F.col("r.start").cast("date").alias("first_day"), F.col("r.end").cast("date").alias("last_day"), F.col("r.precision").alias("precision"))
 
 

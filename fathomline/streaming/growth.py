@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from fathomline.operators.series import floor_gain, spike_gain
+
 
 def daily_gains(stream: DataFrame, lateness: str = "2 days") -> DataFrame:
     """Gains per series and day of ``(series_id, ts, gain)``; days close when the watermark passes them."""
@@ -22,25 +25,34 @@ def launch_sessions(stream: DataFrame, gap: str = "4 days", lateness: str = "2 d
     return s.where("strong = 1").select("series_id", F.col("w.start").alias("anchor"), "n_events")
 
 
+WINDOW = 28  # days of the trailing baseline
+
+
 def totals_and_spikes(stream: DataFrame) -> DataFrame:
-    """For a stream of daily gains ``(series_id, day, gain)`` that arrives in order of days: the running total and whether
-    the day is a spike against the 28 days before. State is 28 gains and a total per series."""
+    """For a stream of daily gains ``(series_id, day, gain)`` in order of days: the running total and whether the day is a
+    spike against the 28 days before, by the rule of ``operators.series``. A day that comes after a later one counts for the
+    total from then on and is no spike. State is 28 gains and a total per series."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        total, seen, last, gains = state.get if state.exists else (0, 0, None, [])
-        gains = list(gains)
+        total, days, last, gains = state.get if state.exists else (0, 0, None, [])
+        recent = deque(gains, maxlen=WINDOW)
         out = []
         for pdf in batches:
-            for day, gain in sorted(zip(pdf["day"], pdf["gain"])):
-                idle = (pd.Timestamp(day) - pd.Timestamp(last)).days - 1 if last is not None else 0
-                gains = (gains + [0] * min(idle, 28))[-28:]
-                seen += idle
-                base = sum(gains) / len(gains) if gains else 0.0
-                floor = max(5.0, 0.002 * total)
-                spike = gain >= max(20.0, floor) if min(seen, 28) < 7 else gain >= floor and gain >= 4 * base + 2
-                total, seen, last, gains = total + int(gain), seen + 1, str(day)[:10], (gains + [int(gain)])[-28:]
+            for day, gain in sorted(zip(pdf["day"], pdf["gain"].astype("int64"))):
+                today = pd.Timestamp(day)
+                late = last is not None and today <= pd.Timestamp(last)
+                spike = False
+                if not late:
+                    quiet = 0 if last is None else (today - pd.Timestamp(last)).days - 1
+                    recent.extend([0] * min(quiet, WINDOW))
+                    days += quiet
+                    mean = sum(recent) / len(recent) if recent else 0.0
+                    spike = gain >= spike_gain(min(days, WINDOW), mean, floor_gain(total, max), max, lambda c, x, y: x if c else y)
+                    recent.append(int(gain))
+                    days, last = days + 1, str(today.date())
+                total += int(gain)
                 out.append((key[0], day, int(gain), total, bool(spike)))
-        state.update((total, seen, last, gains))
+        state.update((total, days, last, list(recent)))
         yield pd.DataFrame(out, columns=["series_id", "day", "gain", "cum", "spike"])
 
     return stream.groupBy("series_id").applyInPandasWithState(

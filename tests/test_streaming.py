@@ -29,6 +29,17 @@ def test_spikes_equal_batch(spark, tmp_path):
     assert {(r["day"], r["cum"], r["spike"]) for r in got.collect()} == want
 
 
+def test_a_late_day_counts_for_the_total_only(spark, tmp_path):
+    day = date(2024, 1, 1)
+    rows = [("a", day + timedelta(days=i), g) for i, g in ((0, 3), (5, 4), (2, 90))]
+    df = spark.createDataFrame(rows, "series_id string, day date, gain bigint")
+    for k, r in enumerate(rows):
+        df.where(F.col("day") == r[1]).coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+    source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    got = {(r["day"], r["cum"], r["spike"]) for r in _run(spark, G.totals_and_spikes(source), "late").collect()}
+    assert max(c for _, c, _ in got) == 97 and (day + timedelta(days=2), 97, False) in got
+
+
 def test_sessions_and_days(spark, tmp_path):
     t0 = datetime(2024, 1, 1)
     rows = [("a", t0, True, 1), ("a", t0 + timedelta(days=2), False, 2), ("a", t0 + timedelta(days=12), False, 4), ("a", t0 + timedelta(days=40), True, 8), ("a", t0 + timedelta(days=80), True, 16)]

@@ -46,16 +46,17 @@ def test_chunks(spark):
 
 def test_ranges(spark):
     def r(v):
-        x = _one(spark, v, lambda c: D.range_from_partial(c))
+        x = _one(spark, v, lambda c: D.named_range(c))
         return (x["start"], x["end"], x["precision"], x["label"])
 
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     assert r("2024-02")[:3] == (datetime(2024, 2, 1), datetime(2024, 2, 29, 23, 59, 59), "month")
     assert r("2021")[2] == "year" and r("2021-03-04")[2] == "day" and r("2021-02-30") == (None, None, "unknown", None)
     assert r("sometime") == (None, None, "unknown", "sometime") and r(None)[2] == "unknown" and r("2021-13")[2] == "unknown"
-    now = F.lit("2026-10-09 08:44:00").cast("timestamp")
-    for v, first, precision in [("September 24, 2026", "2026-09-24", "day"), ("24 Sep 2026", "2026-09-24", "day"), ("3 days ago", "2026-10-06", "day"), ("2 weeks ago", "2026-09-19", "range")]:
-        x = _one(spark, v, lambda c: D.range_from_page_age(c, now))
-        assert (str(x["start"].date()), x["precision"]) == (first, precision)
-    for v in (None, "", "yesterday", "Feb 30, 2026"):
-        assert _one(spark, v, lambda c: D.range_from_page_age(c, now)) is None
+    def of(canon, label=None):
+        x = _one(spark, canon, lambda c: D.canonical_range(c, F.lit(label)))
+        return x and (x["start"], x["end"], x["precision"], x["label"])
+
+    assert of("2026-09-24T08:00:00Z") == of("2026-09-24") == (datetime(2026, 9, 24), datetime(2026, 9, 24, 23, 59, 59), "day", None)
+    assert of("2026-09-19/2026-09-25", "2 weeks ago") == (datetime(2026, 9, 19), datetime(2026, 9, 25, 23, 59, 59), "range", "2 weeks ago")
+    assert of("2026-09")[2] == "month" and of("2026")[2] == "year" and of(None) is None and of("yesterday") is None
