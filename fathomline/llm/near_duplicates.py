@@ -7,6 +7,7 @@ split again into n2 second-level partitions, the two sets agree on all features
 content of such a subset together with the leading digits of the figures. Similar sets share one, whatever the size.
 
 1. Exact copies of a text are collapsed, and texts that are alone with their figures are left out, by aggregates over keys.
+   A bitmap of the repeated figures lets few of the others into the exchange in which they are left out.
 2. (signature, id) is exchanged; texts that share a signature are candidates. Buckets beyond ``bucket`` texts are first reduced
    by linking their members with one of them, and those that still hold several classes are split by the signatures of a second,
    independent partitioning; what is large even then is compared class against class in parts. Nothing is dropped.
@@ -41,6 +42,8 @@ SPARE = 1
 BUCKET = 64
 #: Links that one task closes to classes.
 FEW = 200_000
+#: Bits of the filter for each repeated figure, and in all at most; bits of a part of it that one task sets. Powers of two.
+FILTER_BITS, MOST_BITS, PART_BITS = 8, 1 << 28, 1 << 16
 
 _FEATURES = "claim_id bigint, fig bigint, txt binary, st binary, qt binary, names string, figs string"
 _PARTS = ("st", "qt", "names", "figs")
@@ -273,6 +276,41 @@ def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["claim_id", "fig", "txt", *_PARTS])
 
 
+def _figure_bits(several: DataFrame) -> np.ndarray:
+    """A bitmap of the figures ``several`` (fig, 64-bit hashes): the bit of a figure is its last bits."""
+    bits = min(MOST_BITS, max(PART_BITS, 1 << (FILTER_BITS * several.count() - 1).bit_length()))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, np.ndarray] = {}
+        for b in batches:
+            bit = b.column("bit").to_numpy(zero_copy_only=False)
+            part = bit // PART_BITS
+            for k in np.unique(part):
+                own = bit[part == k] % PART_BITS
+                np.bitwise_or.at(parts.setdefault(int(k), np.zeros(PART_BITS // 8, np.uint8)), own >> 3, (1 << (own & 7)).astype(np.uint8))
+        if parts:
+            yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int64()), pa.array([x.tobytes() for x in parts.values()], pa.binary())], names=["part", "set"])
+
+    slots = several.select(F.col("fig").bitwiseAND(F.lit(bits - 1)).alias("bit"))
+    out = np.zeros(bits // 8, np.uint8)
+    for part, packed in slots.repartition((F.col("bit") / PART_BITS).cast("bigint")).mapInArrow(pack, "part bigint, set binary").collect():
+        out[part * (PART_BITS // 8) : (part + 1) * (PART_BITS // 8)] = np.frombuffer(packed, np.uint8)
+    return out
+
+
+def _with_figures_of(several: DataFrame, prepared: DataFrame) -> DataFrame:
+    """The rows of ``prepared`` whose figures are in ``several``, and some others."""
+    sent = prepared.sparkSession.sparkContext.broadcast(_figure_bits(several))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = sent.value
+        for b in batches:
+            bit = b.column("fig").to_numpy(zero_copy_only=False) & (8 * len(bits) - 1)
+            yield b.filter(pa.array((bits[bit >> 3] >> (bit & 7)) & 1 == 1))
+
+    return prepared.mapInArrow(run, prepared.schema)
+
+
 def near_duplicate_classes(claims: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """One row per claim id: ``claim_id``, ``class_id`` (the least claim id of its class).
 
@@ -284,10 +322,10 @@ def near_duplicate_classes(claims: DataFrame, bucket: int = BUCKET) -> DataFrame
     """
     rows = claims.select("claim_id", "statement", "quote").where("claim_id IS NOT NULL AND statement IS NOT NULL")
     prepared = cut(rows.mapInArrow(_prepare, _FEATURES), "claims")
-    texts = prepared.groupBy("fig", "txt").agg(F.min("claim_id").alias("claim_id"))
+    texts = cut(prepared.groupBy("fig", "txt").agg(F.min("claim_id").alias("claim_id")), "keys")
     several = texts.groupBy("fig").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fig")
     kept = texts.join(several, "fig", "left_semi").select("claim_id", "txt")
-    items = cut(prepared.join(kept, ["claim_id", "txt"], "left_semi").select(F.col("claim_id").alias("id"), F.col("fig").alias("sig"), *_PARTS), "texts")
+    items = cut(_with_figures_of(several, prepared).join(kept, ["claim_id", "txt"], "left_semi").select(F.col("claim_id").alias("id"), F.col("fig").alias("sig"), *_PARTS), "texts")
     edges = _links(items, bucket)
     own = texts.select("txt", F.col("claim_id").alias("a"))
     classes = own.join(components(edges), "a", "left").select("txt", F.coalesce("b", "a").alias("class_id"))

@@ -193,3 +193,16 @@ def test_a_statement_cut_to_half_joins_under_a_whole_quote(spark):
     long = "the board chose to close its second office after a quiet summer and moved all staff".split()
     quote = "we had talked about it since spring and nobody wanted another winter in that building so we packed and left early"
     assert set(classes(spark, [(1, " ".join(long), quote, ""), (2, " ".join(long[:8]), quote, "")]).values()) == {1}
+
+
+def test_figures_that_occur_once_are_kept_out_of_the_exchange(spark):
+    """Every text with a repeated figure passes the filter, and few others do."""
+    rnd = random.Random(8)
+    figs = [rnd.randrange(-(1 << 63), 1 << 63) for _ in range(20_000)]
+    for n in (0, 1, 15_000):
+        several = spark.createDataFrame([(f,) for f in figs[:n]], "fig bigint")
+        rows = spark.createDataFrame([(i, f, b"payload") for i, f in enumerate(figs)], "claim_id bigint, fig bigint, st binary").repartition(3)
+        got = N._with_figures_of(several, rows).collect()
+        ids = {r["claim_id"] for r in got}
+        assert len(got) == len(ids) and ids >= set(range(n)), n
+        assert len(ids) - n < 0.2 * (len(figs) - n), n
